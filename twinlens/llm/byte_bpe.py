@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import stored
 
 #: Bounds of the broadcast table of frequent words.
-HEAD_WORDS, HEAD_BYTES = 1 << 19, 48
-_SHARDS = 1 << 15
+HEAD_WORDS, HEAD_BYTES = 1 << 20, 48
+_SHARDS = 1 << 13
 _NONE = 2**31 - 1
 
 
@@ -91,7 +91,7 @@ def _count(pattern: str, column: int = 0):
         find, seen = regex.compile(pattern).findall, Counter()
 
         def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n > 2 and len(w.encode()) <= HEAD_BYTES]
+            kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= HEAD_BYTES]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     spark = docs.sparkSession
     literal = rank_map(spark, ranks)
     head = head_table(docs.select(text), pattern, head_words)
-    folded = head.repartition(spark.sparkContext.defaultParallelism * 4).select("word", fold(F.col("word"), literal).alias("ids")).toArrow()
+    folded = head.repartition(spark.sparkContext.defaultParallelism * 2).select("word", fold(F.col("word"), literal).alias("ids")).toArrow()
     place = {w: i for i, w in enumerate(folded["word"].to_pylist())}
     table = spark.sparkContext.broadcast((place, [np.array(x, "<u4").tobytes() for x in folded["ids"].to_pylist()]))
     del folded, place
