@@ -154,7 +154,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
             yield ids, [(t.as_py() or "").encode("utf-8", "replace") for t in c.column(1)]
 
 
-def shared_anchors(docs: DataFrame, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_anchors(docs: DataFrame, length: int, buckets: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """The filters of repeated and of frequent anchors, as bytes of fixed size."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> tuple[np.ndarr
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         total = np.add.reduceat(times.astype(np.int64), head)
         out = []
-        for bits, least in ((SHARED_BITS, 2), (HOT_BITS, HOT)):
+        for bits, least in ((SHARED_BITS, 2), (HOT_BITS, hot)):
             own = bits // buckets // 8 * 8
             marks = np.zeros(own, np.uint8)
             for at in bits_of(h[head[total >= least]], np.zeros(1, np.int64), own):
@@ -280,11 +280,11 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray,
     return order[first], order[~first]
 
 
-def spans(docs: DataFrame, length: int = 50) -> DataFrame:
+def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, starts, ends): the ranges to remove, packed 64-bit integers in order, for every document that has some."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
-    filters = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets))
+    filters = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets, hot))
     width, full = length - GRAM + 1, 2 * length - GRAM
 
     def covers(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
