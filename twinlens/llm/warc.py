@@ -1,13 +1,14 @@
 """Operator 6: WARC archives, written and read back.
 
-Writing: a record per page in WARC/1.1 form, through Spark's text sink, whose line separator is the blank line that
-ends a record; so files appear by the committer's rules and a lost task leaves nothing behind. Equal payloads: the
+Writing: a record per page in WARC/1.1 form, through Spark's text sink (gzip), whose line separator is the blank line
+that ends a record; so files appear by the committer's rules and a lost task leaves nothing behind. Equal payloads: the
 smallest id is the ``response``, the others are ``revisit`` records without a payload.
 
 Reading by boundary-chain verification: each task looks for the version line at every offset of its stretch of a file and
 emits a candidate with the offset that its Content-Length makes the successor. Pointer jumping from the file starts
-keeps the candidates that are reachable; a version line inside a payload is never reached. The jumps double, so a
-file of n candidates takes about log2 n rounds.
+keeps the candidates that are reachable; a version line inside a payload is never reached. The links of a file, two
+integers a candidate, meet in one task; the reader's limit on a file's size bounds them. Jumps double, so n candidates
+take about log2 n rounds.
 
 Null html is the empty payload. Ids are expected to be distinct; repeated ids make records each. Extra columns are not
 written. An empty table gives no records. Line ends in a url are percent-encoded in its header.
@@ -15,13 +16,16 @@ written. An empty table gives no records. Line ends in a url are percent-encoded
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bare, discard, salted_join, scratch_path, stored
+from .common import bare, salted_join, scratch_path, stored
 
 _MAGIC = b"WARC/1.1\r\n"
 #: Records of a file (so that a file stays far below the 2 GB that the reader takes), and bytes of a reading task's stretch.
@@ -30,9 +34,8 @@ FILE_RECORDS, STRETCH = 2048, 4 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column: 8 groups of 20 bits, 4 characters each."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of 20 bytes given in hex: 8 groups of 20 bits, 4 characters each."""
     out = []
     for k in range(8):
         bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
@@ -45,8 +48,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each page."""
     payload = F.encode(bare(F.col("html")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    large = rows.where(F.col("payload_bytes") >= min_bytes)
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32(F.sha1("payload"))})
+    large = stored(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"), "warc-digests")
     groups = large.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     members = salted_join(large.select("page_id", "payload_digest"), groups, "payload_digest", 16, "inner", "page_id")
     later = members.where("page_id > _first").select("page_id", F.col("_first").alias("refers_to")).distinct()
@@ -67,66 +70,72 @@ def write(rows: DataFrame, path: str) -> None:
     )
     body = F.when(first, F.decode(F.col("payload"), "UTF-8")).otherwise("")
     lines = rows.select(F.concat(head, body).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the version line: file, start, next (the successor's offset), head and body bounds, and the file's end."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(STRETCH).cast("long"))).alias("from")
-    # a stretch has the bytes of the next one, too, as far as a header and a body that begin in it may go
-    files = files.where("length > 0").select("path", "length", "content", stretch)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                name, end, begin = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(3)[i].as_py()
-                data = memoryview(b.column(2)[i].as_buffer())
-                text = bytes(data[begin : min(end, begin + STRETCH + len(_MAGIC) - 1)])
+    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, memoryview, list[tuple[int, int, bytes, int]]]]:
+    """Of each stretch of each file: (start, next, head, body's offset) at every place of the version line."""
+    for b in batches:
+        for i in range(b.num_rows):
+            data = b.column(1)[i].as_py()
+            data = memoryview(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+            for begin in range(0, len(data), STRETCH):
                 found = []
-                for m in re.finditer(re.escape(_MAGIC), text):
+                for m in re.finditer(re.escape(_MAGIC), data[begin : begin + STRETCH + len(_MAGIC) - 1]):
                     at = begin + m.start()
                     head = bytes(data[at : at + 65536])
                     stop = head.find(b"\r\n\r\n")
-                    size = re.search(rb"\r\nContent-Length: *(\d+)\r?\n?", head[: stop + 2], re.I) if stop >= 0 else None
+                    size = re.search(rb"\r\nContent-Length: *(\d+)", head[:stop], re.I) if stop >= 0 else None
                     if size:
-                        body = at + stop + 4
-                        close = body + int(size[1])
-                        found.append((name, at, close + 4, head[:stop].decode("utf-8", "replace"), bytes(data[body:close]) if close <= end else b"", end))
-                for k in range(0, len(found), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[k : k + 256], strict=True), kinds, strict=True)], names)
-
-    names = ["file", "start", "next", "head", "body", "end"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
-    return files.mapInArrow(run, "file string, start long, next long, head string, body binary, end long")
-
-
-def reachable(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Of ``links(file, start, next, end)`` the (file, start) on the chain from offset 0 of each file, by pointer jumping.
-
-    Round k knows the marked places and each place's 2^k-th successor; the marks' jumps are marked as well.
-    """
-    jump = stored(links.select("file", "start", "next"), "warc-jump")
-    marked = stored(links.where("start = 0").select("file", "start"), "warc-marked")
-    n = marked.count()
-    for _ in range(max_rounds):
-        hops = marked.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
-        new = stored(marked.union(hops).distinct().join(links.select("file", "start"), ["file", "start"], "left_semi"), "warc-marked")
-        far = jump.alias("a").join(jump.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.next") == F.col("b.start")))
-        further = stored(far.select("a.file", "a.start", "b.next"), "warc-jump")
-        discard(marked), discard(jump)
-        marked, jump, before, n = new, further, n, new.count()
-        if n == before and jump.isEmpty():
-            break
-    return marked
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under ``path``: file, start, head, body."""
-    found = candidates(spark, path)
-    links = stored(found.select("file", "start", "next", "end"), "warc-links")
-    kept = reachable(links)
-    return found.join(kept, ["file", "start"], "left_semi").select("file", "start", "head", "body")
+                        found.append((at, at + stop + 4 + int(size[1]) + 4, head[:stop], at + stop + 4))
+                yield b.column(0)[i].as_py(), data, found
+
+
+def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates' starts and successors, packed, a row for each stretch."""
+    for name, data, found in _found(batches):
+        at = np.array([(x[0], x[1] if x[1] <= len(data) else -1) for x in found], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at[:, 0].tobytes()], pa.binary()), pa.array([at[:, 1].tobytes()], pa.binary())], ["file", "starts", "nexts"])
+
+
+def reachable(table: pa.Table) -> pa.Table:
+    """The starts on the chain from offset 0 of one file, by pointer jumping: round k marks what 2^k successors more reach."""
+    start, after = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), np.int64) for c in ("starts", "nexts"))
+    order = np.argsort(start)
+    start, after = start[order], after[order]
+    to = np.searchsorted(start, after)
+    to = np.append(np.where((to < len(start)) & (np.append(start, -1)[np.minimum(to, len(start))] == after), to, len(start)), len(start))
+    marked = np.append(start == 0, False)
+    while True:
+        new = marked.copy()
+        new[to[marked]] = True
+        new[-1] = False
+        # a record cut short is no record
+        if (new == marked).all() and (to == len(start)).all():
+            kept = start[marked[:-1] & (after >= 0)]
+            return pa.table({"file": pa.array([table.column("file")[0].as_py()] * len(kept), pa.string()), "start": pa.array(kept, pa.int64())})
+        marked, to = new, to[to]
+
+
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """The records of the archives under ``path``: file, start, head and body; with ``digest`` the body's size and SHA-1 in its stead."""
+
+    def records_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, data, found in _found(batches):
+            for k in range(0, len(found), 256):
+                own = found[k : k + 256]
+                body = [bytes(data[x[3] : max(x[3], x[1] - 4)]) for x in own]
+                more = [pa.array([len(x) for x in body], pa.int64()), pa.array([hashlib.sha1(x).digest() for x in body], pa.binary())] if digest else [pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([x[0] for x in own], pa.int64()), pa.array([x[2].decode("utf-8", "replace") for x in own]), *more], names)
+
+    names = ["file", "start", "head", *(("size", "sha1") if digest else ("body",))]
+    kept = _files(spark, path).mapInArrow(links, "file string, starts binary, nexts binary").groupBy("file").applyInArrow(reachable, "file string, start long")
+    every = _files(spark, path).mapInArrow(records_, "file string, start long, head string, " + ("size long, sha1 binary" if digest else "body binary"))
+    return every.join(kept, ["file", "start"], "left_semi").select(*names)
 
 
 def field(name: str) -> Column:
@@ -138,10 +147,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     # the full payload's figures are checked where the payload is here, and else read from the revisit's header
     whole = field("WARC-Type") == "response"
-    return read(spark, path).select(
+    return read(spark, path, digest=True).select(
         F.regexp_extract("head", r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).cast("long").alias("page_id"),
-        F.when(whole, F.octet_length("body")).otherwise(field("X-Payload-Length").cast("long")).cast("long").alias("payload_bytes"),
-        F.when(whole, base32_sha1(F.col("body"))).otherwise(F.substring(field("WARC-Payload-Digest"), 6, 32)).alias("payload_digest"),
+        F.when(whole, F.col("size")).otherwise(field("X-Payload-Length").cast("long")).cast("long").alias("payload_bytes"),
+        F.when(whole, base32(F.lower(F.hex("sha1")))).otherwise(F.substring(field("WARC-Payload-Digest"), 6, 32)).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(~whole, F.regexp_extract("head", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1).cast("long")).alias("refers_to"),
     )
