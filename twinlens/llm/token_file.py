@@ -12,46 +12,53 @@ Extra columns are ignored. An empty table gives empty files.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import discard, partitions, scratch_path, stored
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 18
-_CACHE = 1 << 18
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, pattern: str, special: tuple[str, ...], end_id: int) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, ``end_id`` last.
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the others in order from U+0100."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    The library splits by ``pattern`` before it merges, so each distinct word is given to it once for each task (its
-    memory is bounded: when it holds ``_CACHE`` words it starts anew). A text with a special token goes to it whole.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+@lru_cache(1)
+def _engines(tokenizer_file: str, pattern: str):
+    """The tokenizers library for texts with special tokens; for all others a faster engine over the same vocabulary, whose ids are its merge order."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    special, letter = [x["content"] for x in spec["added_tokens"]], byte_letters()
+    ranks = {bytes(letter[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+    return Tokenizer.from_file(tokenizer_file), tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
+
 
-        tok, find, memory = Tokenizer.from_file(tokenizer_file), regex.compile(pattern).findall, {}
-        end = np.array([end_id], "<u4").tobytes()
-        pack = lambda x: np.array(x, "<u4").tobytes()
+def tokenize(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, kind: str = "<u2") -> DataFrame:
+    """(doc_id, ids): ids packed as ``kind`` (which must hold them), ``end_id`` last; those of the tokenizers library without its special tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, engine, special = _engines(tokenizer_file, pattern)
+        end = np.array([end_id], kind).tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                c = b.slice(k, 256)
-                texts = [t.as_py() or "" for t in c.column(1)]
-                words = [find(t) for t in texts]
-                if len(memory) > _CACHE:
-                    memory.clear()
-                new = list({w for x in words for w in x if w not in memory})
-                memory.update(zip(new, (pack(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-                ids = []
-                for t, x in zip(texts, words, strict=True):
-                    whole = any(s in t for s in special)
-                    ids.append((pack(tok.encode(t, add_special_tokens=False).ids) if whole else b"".join([memory[w] for w in x])) + end)
+                c, ids = b.slice(k, 256), []
+                for t in c.column(1):
+                    t = t.as_py() or ""
+                    x = library.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else engine.encode_to_numpy(t, disallowed_special=())
+                    ids.append(np.asarray(x).astype(kind).tobytes() + end)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
@@ -128,14 +135,14 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, tak
     return out.reshape(-1)[:n]
 
 
-def write(tokens: DataFrame, path: str) -> None:
+def write(tokens: DataFrame, path: str, kind: str = "<u2") -> None:
     """Write ``tokens(doc_id, ids)`` under ``path``: ``code`` (id, bits) and ``blocks``, in ascending doc_id order over the files."""
     spark = tokens.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for b in batches:
-            more = np.bincount(np.frombuffer(b"".join(x.as_py() for x in b.column(0)), "<u4").astype(np.int64))
+            more = np.bincount(np.frombuffer(b"".join(x.as_py() for x in b.column(0)), kind).astype(np.int64))
             n = np.pad(n, (0, max(0, len(more) - len(n)))) + np.pad(more, (0, max(0, len(n) - len(more))))
         ids = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], ["id", "n"])
@@ -166,7 +173,7 @@ def write(tokens: DataFrame, path: str) -> None:
         for b in batches:
             for d, x in zip(b.column(0), b.column(1), strict=True):
                 docs.append(d.as_py())
-                parts.append(np.frombuffer(x.as_py(), "<u4"))
+                parts.append(np.frombuffer(x.as_py(), kind))
                 held += len(parts[-1])
                 if held >= BLOCK_IDS:
                     yield block()
@@ -210,7 +217,7 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokens = stored(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ("<|endoftext|>",), 2), "token-ids")
+    tokens = stored(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2), "token-ids")
     path = scratch_path(spark, "token-file")
     write(tokens, path)
     discard(tokens)
