@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import partitions
@@ -33,7 +34,7 @@ from .shingles import mix
 
 GRAM, PIECE, HELD = 24, 1 << 19, 1 << 20
 #: Bits of the filters of repeated and of frequent anchors; occurrences that make an anchor frequent.
-SHARED_BITS, HOT_BITS, HOT = 1 << 26, 1 << 22, 192
+SHARED_BITS, HOT_BITS, HOT = 1 << 26, 1 << 22, 1024
 _U = np.uint64
 _NULL_ID = np.iinfo(np.int64).max
 _KIND = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
@@ -131,19 +132,21 @@ def has(bits: np.ndarray, h: np.ndarray, buckets: int, total: int) -> np.ndarray
 
 
 def _rows(kind: int, buckets: int, where: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket, with its items of each column packed."""
+    """A row for each bucket, with its items of each column packed and compressed."""
+    squeeze = zstandard.ZstdCompressor(1).compress
     order = np.argsort(where, kind="stable")
     cut = np.searchsorted(where[order], np.arange(buckets + 1))
     for k in range(0, buckets, 32):
         own = [i for i in range(k, min(buckets, k + 32)) if cut[i] < cut[i + 1]]
         if own:
-            packed = [pa.array([c[order[cut[i] : cut[i + 1]]].tobytes() for i in own], pa.binary()) for c in columns]
+            packed = [pa.array([squeeze(c[order[cut[i] : cut[i + 1]]].tobytes()) for i in own], pa.binary()) for c in columns]
             packed += [pa.array([b""] * len(own), pa.binary())] * (5 - len(columns))
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array(own, pa.int32()), *packed], _NAMES)
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+    open_ = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(b"".join(open_(x.as_py()) for x in table.column(name)), kind)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -284,6 +287,8 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, starts, ends): the ranges to remove, packed 64-bit integers in order, for every document that has some."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
+    # ranges go to fewer buckets, as each of the others may have some for each of these
+    meeting = max(8, buckets // 8)
     filters = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets, hot))
     width, full = length - GRAM + 1, 2 * length - GRAM
 
@@ -291,7 +296,7 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
         """Ranges, those of a document joined where they overlap, to the documents' buckets."""
         if len(doc):
             doc, start, end = joined(doc, start, end)
-            yield from _rows(2, buckets, bucket_of(mix(doc.view(np.uint64)), buckets), end, doc, start)
+            yield from _rows(2, meeting, bucket_of(mix(doc.view(np.uint64)), meeting), end, doc, start)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(PIECE + 4 * length)
@@ -303,9 +308,8 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 h, c, doc, start, size, context = (np.concatenate(x) for x in zip(*held, strict=True))
-                first, late = _firsts((h, c), doc)
+                first, late = _firsts((c, h), doc)  # by anchor, so that like contexts are compressed together
                 yield from covers(doc[late], start[late], start[late] + size[late])
-                # the anchor's context hash travels within its 12 bytes of figures: hash, size
                 yield from _rows(0, buckets, bucket_of(h[first], buckets), h[first], c[first], doc[first], start[first] << 8 | size[first], context[first])
             if windows:
                 h, doc, start = (np.concatenate(x) for x in zip(*windows, strict=True))
@@ -327,7 +331,7 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
                 s, e = start[cold], end[cold]
                 place = s[:, None] + np.arange(full)
                 context = np.where(place < e[:, None], x.bytes[np.minimum(place, len(x.bytes) - 1)], 0).astype(np.uint8)
-                held.append((h[cold], roller.hash(x.sums, s, e) + (at[cold] - s).astype(np.uint64), doc[cold], s + shift[cold], e - s, context))
+                held.append((h[cold], (roller.hash(x.sums, s, e) + (at[cold] - s).astype(np.uint64)).astype(np.uint32), doc[cold], s + shift[cold], e - s, context))
                 for j in range(width):
                     w = at[often] - j
                     ok = (w >= lo[often]) & (w + length <= hi[often])
@@ -348,7 +352,7 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
             _, late = _firsts((h,), doc)
             doc, start, end = doc[late], start[late], start[late] + length
         else:
-            h, c, doc, figures = _column(table, "a", np.uint64), _column(table, "b", np.uint64), _column(table, "c", np.int64), _column(table, "d", np.int64)
+            h, c, doc, figures = _column(table, "a", np.uint64), _column(table, "b", np.uint32), _column(table, "c", np.int64), _column(table, "d", np.int64)
             start, size, context = figures >> 8, figures & 255, _column(table, "e", np.uint8).reshape(-1, full)
             first, late = _firsts((h, c), doc)
             found = [(doc[late], start[late], start[late] + size[late])]
@@ -357,10 +361,7 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
             new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
             kinds = np.add.reduceat(np.concatenate([[1], (c[order][1:] != c[order][:-1]) | new[1:]]).astype(np.int64), np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
             left = order[(kinds > 1)[np.cumsum(new) - 1]] if len(order) else order
-            left = left[_twice(context[left], size[left], length)]
-            if len(left):
-                row, off = covered_by_suffixes(context[left], size[left], doc[left], length)
-                found.append((doc[left][row], start[left][row] + off, start[left][row] + off + length))
+            found += _within(context[left], size[left], doc[left], start[left], length)
             doc, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         batches = list(covers(doc, start, end))
         return pa.Table.from_batches(batches, _SCHEMA) if batches else _SCHEMA.empty_table()
@@ -379,21 +380,48 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcde")])
 
 
-def _twice(context: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-    """Contexts that hold a string whose hash occurs again: the others need no sorting."""
+def _within(context: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> list[tuple]:
+    """Covered ranges of documents' contexts, each a row of the matrix.
+
+    What of a context recurs is found by hash; equal stretches of that kind are merged into the smallest document's;
+    the suffixes of those that still share a string are sorted, and adjacent prefixes compared.
+    """
     if not len(context):
-        return np.zeros(0, bool)
+        return []
     roller = Roller(context.shape[1])
     sums = np.zeros((len(context), context.shape[1] + 1), np.uint64)
     np.cumsum(roller.values[context] * roller.powers[: context.shape[1]], axis=1, out=sums[:, 1:])
     n = context.shape[1] - length + 1
     h = mix((sums[:, length:] - sums[:, :n]) * roller.inverse[:n])
     ok = np.arange(n)[None, :] + length <= size[:, None]
-    flat = h[ok]
-    _, name, times = np.unique(flat, return_inverse=True, return_counts=True)
-    again = np.zeros(h.shape, bool)
-    again[ok] = times[name] > 1
-    return again.any(1)
+    _, name, times = np.unique(h[ok], return_inverse=True, return_counts=True)
+    again = np.zeros((len(h), n + 2), np.int8)
+    again[:, 1:-1][ok] = times[name] > 1
+    row, lo = np.nonzero(np.diff(again, axis=1) == 1)
+    hi = np.nonzero(np.diff(again, axis=1) == -1)[1] - 1 + length
+    whole = mix((sums[row, hi] - sums[row, lo]) * roller.inverse[lo] + (hi - lo).astype(np.uint64))
+    first, late = _firsts((whole,), doc[row])
+    found = [(doc[row[late]], start[row[late]] + lo[late], start[row[late]] + hi[late])]
+    # of one document's equal stretches one is enough to be compared, and all share its answer
+    row, lo, hi, whole = row[first], lo[first], hi[first], whole[first]
+    _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+    many = hi[one] - lo[one] - length + 1
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    _, name, times = np.unique(h[np.repeat(row[one], many), np.repeat(lo[one], many) + at], return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(np.bincount(np.repeat(np.arange(len(one)), many), times[name] > 1, len(one)))
+    if len(open_):
+        x = one[open_]
+        place = lo[x][:, None] + np.arange(context.shape[1])
+        part = np.where(place < hi[x][:, None], context[row[x][:, None], np.minimum(place, context.shape[1] - 1)], 0).astype(np.uint8)
+        r, off = covered_by_suffixes(part, hi[x] - lo[x], doc[row[x]], length)
+        # each answer holds for all places of that document's stretch
+        by = np.argsort(of, kind="stable")
+        cut_ = np.searchsorted(of[by], np.arange(len(one) + 1))
+        each = cut_[open_[r] + 1] - cut_[open_[r]]
+        spot = by[np.repeat(cut_[open_[r]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+        begin = start[row[spot]] + lo[spot] + np.repeat(off, each)
+        found.append((doc[row[spot]], begin, begin + length))
+    return found
 
 
 def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
