@@ -26,7 +26,11 @@ def top_logprobs(response: Column) -> Column:
 
 def class_logprobs(top: Column, classes: list[str], prefix: str = " ") -> Column:
     """Log-probabilities of ``prefix + class`` (a token's first occurrence counts); null for the row if one is missing."""
-    found = F.array(*(F.get(F.filter(top, lambda t, c=c: t["token"] == prefix + c), F.lit(0))["logprob"] for c in classes))
+
+    def first(token: str) -> Column:
+        return F.get(F.filter(top, lambda t: t["token"] == token), F.lit(0))["logprob"]
+
+    found = F.array(*(first(prefix + c) for c in classes))
     return F.when(F.forall(found, lambda x: x.isNotNull() & ~F.isnan(x)), found)
 
 

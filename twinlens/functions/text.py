@@ -140,7 +140,7 @@ def seed_column(seed: int, *parts: Column | str) -> Column:
     columns = [F.lit(p) if isinstance(p, str) else p for p in parts]
     blob = F.concat(F.lit(f"[{seed}"), *(F.concat(F.lit(', "'), c, F.lit('"')) for c in columns), F.lit("]"))
     number = F.conv(F.substring(F.sha2(blob, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    plain = (number % F.lit(2**63).cast("decimal(20,0)")).cast("long")
+    plain = (number % F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
     simple = F.lit(True)
     for c in columns:
         simple = simple & c.rlike(r'^[\x20\x21\x23-\x5B\x5D-\x7E]*$')
@@ -156,7 +156,7 @@ def seed_column_ascii(seed: int, *parts: Column | str) -> Column:
     """``seed_column`` for strings known to be plain: in the JVM alone."""
     columns = [F.lit(p) if isinstance(p, str) else p for p in parts]
     blob = F.concat(F.lit(f"[{seed}"), *(F.concat(F.lit(', "'), c, F.lit('"')) for c in columns), F.lit("]"))
-    return (F.conv(F.substring(F.sha2(blob, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(2**63).cast("decimal(20,0)")).cast("long")
+    return (F.conv(F.substring(F.sha2(blob, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
 
 
 #: Versions that are part of cache keys, so that a change of an algorithm never reads older entries.

@@ -86,7 +86,7 @@ def resamples(df: DataFrame, metrics: list[str], order: str, columns: tuple[str,
     if engine == "exact":
         if n > MAX_BROADCAST_ROWS:
             raise ConfigError(f"the exact engine broadcasts at most {MAX_BROADCAST_ROWS} rows; use 'multinomial'")
-        code = sum((F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), f"_l{i}") * k ** (2 - i) for i in range(3)), F.lit(0))
+        code = sum((F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), F.col(f"_l{i}")) * k ** (2 - i) for i in range(3)), F.lit(0))
         codes = rows.select("_pos", code.cast("int").alias("c")).orderBy("_pos").toArrow()["c"].to_numpy()
         state = np.random.RandomState(seed)
         for first in range(0, n_bootstrap, chunk):
