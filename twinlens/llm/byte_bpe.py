@@ -5,8 +5,8 @@ byte arrays of distinct words, with the ranks as one literal map (sharded by has
 
 1. a pass counts the words; the frequent ones, at most ``head_words`` of at most ``HEAD_BYTES`` bytes each, are folded
    once and their ids broadcast (a table of proven size, which only saves work);
-2. a second pass replaces each word by its place in that table; the other distinct words of a document travel beside
-   it and are folded in the same way;
+2. a second pass replaces each word by its place in that table; the other distinct words of a chunk of documents travel
+   with its first one and are folded in the same way;
 3. ids are assembled, and decoding concatenates the ids' binary pieces.
 
 No document is shuffled. Null text is encoded as the empty text, which has no ids; extra columns are ignored unless
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import stored
 
 #: Bounds of the broadcast table of frequent words.
-HEAD_WORDS, HEAD_BYTES = 1 << 20, 48
-_SHARDS = 1 << 13
+HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
+#: Characters of the documents that share their other words.
+CHUNK = 8 << 20
+_SHARDS = 1 << 15
 _NONE = 2**31 - 1
 
 
@@ -40,50 +43,60 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, a piece being in the map of its hash. Bytes are Latin-1 characters."""
-    keys = spark.createDataFrame([(b.decode("latin-1"), r) for b, r in ranks.items()], "k string, r int")
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: an array of small maps, a piece being in the map of its checksum. Bytes are Latin-1 characters."""
     shards: list[dict[str, int]] = [{} for _ in range(_SHARDS)]
-    for k, r, h in keys.select("k", "r", F.pmod(F.hash("k"), F.lit(_SHARDS))).collect():
-        shards[h][k] = r
+    for b, r in ranks.items():
+        k = b.decode("latin-1")
+        shards[zlib.crc32(k.encode()) % _SHARDS][k] = r
     return F.from_json(F.lit(json.dumps(shards)), "array<map<string,int>>")
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """Ids of one word (a string): merge the adjacent pair of least rank, leftmost first, until no pair has a rank."""
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold(words: Column, ranks: Column) -> Column:
+    """Ids of each word of an array of strings. The literal is bound once, so that a plan holds one copy of it."""
+    return _let(ranks, lambda table: F.transform(words, lambda w: _fold_one(w, table)))
+
+
+def _fold_one(word: Column, ranks: Column) -> Column:
+    """Merge the adjacent pair of least rank, leftmost first, until no pair has a rank."""
+
+    def find(piece: Column) -> Column:
+        return F.try_element_at(F.get(ranks, (F.crc32(F.encode(piece, "UTF-8")) % _SHARDS).cast("int")), piece)
 
     def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(ranks, F.pmod(F.hash(piece), F.lit(_SHARDS))), piece), F.lit(_NONE))
+        return F.coalesce(find(piece), F.lit(_NONE))
 
     def state(p: Column, r: Column) -> Column:
         return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def merge(s: Column, _: Column) -> Column:
         def at(i: Column) -> Column:
             def joined(x: Column) -> Column:
                 p, r = s["p"], s["r"]
-                left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), x)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(p), F.array(rank(F.concat(x, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
+                none = F.array().cast("array<int>")
+                left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), x)))).otherwise(none)
+                right = F.when(i + 1 < F.size(p), F.array(rank(F.concat(x, F.get(p, i + 1))))).otherwise(none)
                 new_r = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
                 new_p = F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p)))
-                return let(F.struct(new_p.alias("p"), new_r.alias("r")), lambda t: state(t["p"], t["r"]))
+                return _let(F.struct(new_p.alias("p"), new_r.alias("r")), lambda t: state(t["p"], t["r"]))
 
-            return let(F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)), joined)
+            return _let(F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)), joined)
 
-        return F.when(F.coalesce(s["m"], F.lit(_NONE)) == _NONE, s).otherwise(let(F.array_position(s["r"], s["m"]).cast("int"), at))
+        return F.when(F.coalesce(s["m"], F.lit(_NONE)) == _NONE, s).otherwise(_let(F.array_position(s["r"], s["m"]).cast("int"), at))
 
-    chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    whole = let(chars, lambda c: F.try_element_at(F.get(ranks, F.pmod(F.hash(c), F.lit(_SHARDS))), c))
+    def by_merges(p: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i))))
+        first = _let(pairs, lambda r: state(p, r))
+        return F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), first, merge, lambda s: F.transform(s["p"], rank))
 
-    def by_merges(bytes_: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(bytes_) - 1), lambda i: rank(F.concat(F.get(bytes_, i - 1), F.get(bytes_, i))))
-        first = let(pairs, lambda r: state(bytes_, r))
-        return F.aggregate(F.sequence(F.lit(1), F.size(bytes_) - 1), first, merge, lambda s: F.transform(s["p"], rank))
+    def of(chars: Column) -> Column:
+        return _let(find(chars), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(chars, "(?!^)"), by_merges)))
 
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(chars, "(?!^)"), by_merges))
+    return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
 
 
 def _count(pattern: str, column: int = 0):
@@ -116,47 +129,59 @@ def head_table(texts: DataFrame, pattern: str, limit: int) -> DataFrame:
     return words.where(F.length(F.bin("n")) >= least).select("word")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for words, ids in zip(b.column(0), b.column(1), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(words.as_py(), pa.string()), pa.array([np.array(x, "<u4").tobytes() for x in ids.as_py()], pa.binary())], ["word", "ids"])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS) -> DataFrame:
     """``keep`` columns and ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text), one row per row."""
     spark = docs.sparkSession
-    literal = rank_map(spark, ranks)
-    head = head_table(docs.select(text), pattern, head_words)
-    folded = head.repartition(spark.sparkContext.defaultParallelism * 2).select("word", fold(F.col("word"), literal).alias("ids")).toArrow()
-    place = {w: i for i, w in enumerate(folded["word"].to_pylist())}
-    table = spark.sparkContext.broadcast((place, [np.array(x, "<u4").tobytes() for x in folded["ids"].to_pylist()]))
-    del folded, place
+    literal = rank_map(ranks)
+    head = head_table(docs.select(text), pattern, head_words).repartition(2 * spark.sparkContext.defaultParallelism)
+    folded = head.mapInArrow(_grouped, "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(_packed, "word string, ids binary").toArrow()
+    table = spark.sparkContext.broadcast((dict(zip(folded["word"].to_pylist(), range(len(folded)), strict=True)), folded["ids"].to_pylist()))
+    del folded
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, at = regex.compile(pattern).findall, table.value[0]
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                c = b.slice(k, 512)
-                codes, rest = [], []
-                for t in c.column(c.num_columns - 1):
-                    other: dict[str, int] = {}
-                    words = find(t.as_py() or "")
+            texts, k = b.column(b.num_columns - 1), 0
+            while k < b.num_rows:
+                other: dict[str, int] = {}
+                codes, held, first = [], 0, k
+                while k < b.num_rows and held < CHUNK:
+                    t = texts[k].as_py() or ""
+                    words = find(t)
                     own = list(map(at.get, words))
                     if None in own:
                         own = [other.setdefault(w, ~len(other)) if x is None else x for x, w in zip(own, words, strict=True)]
                     codes.append(np.array(own, "<i4").tobytes())
-                    rest.append(list(other))
-                yield pa.RecordBatch.from_arrays([*c.columns[:-1], pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], [*names, "_codes", "_rest"])
+                    held, k = held + len(t), k + 1
+                rest = [list(other)] + [None] * (len(codes) - 1)
+                yield pa.RecordBatch.from_arrays([*b.slice(first, k - first).columns[:-1], pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], [*names, "_codes", "_rest"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = table.value[1]
+        packed, own = table.value[1], []
         for b in batches:
             ids = []
             for codes, rest in zip(b.column(len(names)), b.column(len(names) + 1), strict=True):
-                codes, own = np.frombuffer(codes.as_py(), "<i4"), [np.array(x, "<u4").tobytes() for x in rest.as_py()]
-                own.reverse()  # place ~k counts from the end
-                ids.append(b"".join([packed[c] for c in codes.tolist()] if not own else [packed[c] if c >= 0 else own[c] for c in codes.tolist()]))
+                if (rest := rest.as_py()) is not None:  # the other words of this document and those after it in the chunk
+                    own = [np.array(x, "<u4").tobytes() for x in reversed(rest)]
+                ids.append(b"".join([packed[c] if c >= 0 else own[c] for c in np.frombuffer(codes.as_py(), "<i4").tolist()]))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(ids, pa.binary())], [*names, "ids"])
 
     names = list(keep)
     kept = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
     coded = kept.mapInArrow(places, f"{kinds}, _codes binary, _rest array<string>")
-    coded = coded.select(*keep, "_codes", F.transform("_rest", lambda w: fold(w, literal)).alias("_rest"))
+    coded = coded.select(*keep, "_codes", fold(F.col("_rest"), literal).alias("_rest"))
     return coded.mapInArrow(assemble, f"{kinds}, ids binary")
 
 
