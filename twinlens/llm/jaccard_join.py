@@ -2,9 +2,9 @@
 
 1. Documents with equal shingle sets are one class; from here on classes are joined.
 2. Classes are brought together exactly: a pair of the required similarity differs in at most k shingles, k following
-   from the sizes, so of k + 1 ranges of the hash space at least one holds the same shingles in both. Range hashes travel
-   packed, a row per task and bucket; equal ones are linked to the first class that has them. The
-   components of these candidate links are clusters, which contain every true link.
+   from the sizes, so of more than k ranges of the hash space at least one holds the same shingles in both. Range hashes
+   travel packed, a row per task and bucket. Classes that share one are compared by parity sketches, which never differ
+   more than the sets; the components of what is left are clusters, which contain every true link.
 3. The sets of clusters of two or more classes are made again from the texts (a Bloom filter of fixed size keeps others
    from being sent) and searched in blocks: short inverted lists are merged and counted, long ones are probed by
    binary search for what can still reach the overlap T (DivideSkip), and each pair that reaches its own T is a link.
@@ -49,26 +49,44 @@ def size_class(n: int, percent: int) -> int:
 
 @lru_cache(256)
 def ranges(i: int, percent: int) -> np.ndarray:
-    """Bounds of the ranges for pairs whose smaller set is in class ``i``: one range more than they can differ in."""
+    """Bounds of the ranges for pairs whose smaller set is in class ``i``: some more than they can differ in."""
     least = 1
     for _ in range(i + 1):
         least = least * 100 // percent + 1
     large = least - 1
     differ = (large + large * 100 // percent) * (100 - percent) // (100 + percent)
-    return np.array([(j << 64) // (differ + 1) for j in range(1, differ + 1)], np.uint64)
+    parts = differ + 1 + differ // 8
+    return np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the ranges of a sorted set, for its own class and for the one below."""
+    """Hashes of the ranges of a sorted set, for its own class and for the one below.
+
+    Empty ranges say little. Two sets have at least ``spare`` ranges alike, so if fewer of a set's are empty, one that is
+    not is among them, and its empty ranges need not be sent.
+    """
     own, out = size_class(len(s), percent), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + _U(0x5851F42D4C957F2D)))])
     for i in {own, max(0, own - 1)}:
         at = np.concatenate([[0], np.searchsorted(s, ranges(i, percent)), [len(s)]])
         part = np.arange(len(at) - 1, dtype=np.uint64) + _U(i << 32)
-        out.append(mix(mix(sums[at[1:]] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64)) + part * _U(0x9E3779B97F4A7C15)))
+        h = mix(mix(sums[at[1:]] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64)) + part * _U(0x9E3779B97F4A7C15))
+        full, spare = at[1:] > at[:-1], (len(h) - 1) // 9 + 1
+        out.append(h if len(h) - full.sum() >= spare else h[full])
     return np.concatenate(out)
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of a set's sketch: the power of two that is twice its size or more, 64 at least."""
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's hashes by their low bits: two sketches differ in no more bits than the sets in shingles."""
+    m = sketch_bits(len(s))
+    return np.packbits((np.bincount((s & _U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def name(s: np.ndarray) -> int:
     """A class's id: 63 bits of a digest of the set."""
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little") >> 1
@@ -83,22 +101,12 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[lis
             yield c.column(0).to_pylist(), [shingle_set(w, shingle) for w in hasher.texts(texts)]
 
 
-def classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, class) of every row; the class of an empty set is null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
-
-
 def class_and_signatures(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
     """Rows of two kinds: with bucket -1 a batch of packed (doc_id, n_shingles, class), else a bucket's packed signatures and classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(where: list[int], a: list[bytes], b: list[bytes], c: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["bucket", "a", "b", "c"])
+        def rows(where: list[int], a: list[bytes], b: list[bytes], c: list[bytes], d: list[bytes] | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary()), pa.array(d or [b""] * len(where), pa.binary())], ["bucket", "a", "b", "c", "d"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sigs, of, held, seen
@@ -120,7 +128,7 @@ def class_and_signatures(docs: DataFrame, shingle: int, percent: int, buckets: i
         held, seen = 0, set()
         for ids, sets in _sets(batches, shingle):
             names = [name(s) if len(s) else -1 for s in sets]
-            yield rows([-1], [np.array([-1 if i is None else i for i in ids], np.int64).tobytes()], [np.array([len(s) for s in sets], np.int64).tobytes()], [np.array(names, np.int64).tobytes()])
+            yield rows([-1], [np.array([-1 if i is None else i for i in ids], np.int64).tobytes()], [np.array([len(s) for s in sets], np.int64).tobytes()], [np.array(names, np.int64).tobytes()], [b"".join(sketch(s) for s in sets if len(s))])
             for s, c in zip(sets, names, strict=True):
                 if c >= 0 and c not in seen:
                     seen.add(c)
@@ -131,25 +139,77 @@ def class_and_signatures(docs: DataFrame, shingle: int, percent: int, buckets: i
                 yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, a binary, b binary, c binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, a binary, b binary, c binary, d binary")
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Links of one bucket: each class with the smallest class that has the same signature."""
+def _runs(table: pa.Table) -> pa.Table:
+    """Classes of one bucket with a signature in common: (run, class), a run's number being a hash of its classes."""
     s, c = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(k)]) for k, t in (("a", np.uint64), ("b", np.int64)))
     order = np.lexsort((c, s))
     s, c = s[order], c[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]])
-    first = c[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    links = np.unique(np.stack([first, c], 1)[first != c], axis=0)
-    return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+    one = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
+    s, c = s[one], c[one]
+    head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    size = np.diff(np.append(head, len(s)))
+    run = mix(np.add.reduceat(mix(c.view(np.uint64)), head) + size.astype(np.uint64))
+    many = np.flatnonzero(size > 1)
+    own = many[np.unique(run[many], return_index=True)[1]]
+    at = np.repeat(head[own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+    return pa.table({"run": pa.array(np.repeat(run[own], size[own]).view(np.int64), pa.int64()), "class": pa.array(c[at], pa.int64())})
+
+
+def _links_of_runs(percent: int):
+    """Candidate links within runs: pairs whose sketches differ in no more bits than sets of that similarity may.
+
+    From each class in turn all that are still apart are compared; so runs of near copies take one comparison each.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["run"].to_numpy(), kind="stable")
+        runs, names, sizes = (table[k].to_numpy()[order] for k in ("run", "class", "n_shingles"))
+        sketches = [table["sketch"][int(i)].as_py() for i in order]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        out = []
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])), len(runs)).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = names[lo:hi].tolist()
+            if len({find(c) for c in own}) == 1:
+                continue
+            width = min(len(x) for x in sketches[lo:hi])
+            bits = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), 0) for x in sketches[lo:hi]])
+            n = sizes[lo:hi]
+            apart, queue = np.arange(1, hi - lo), [0]
+            while len(apart):
+                x = queue.pop() if queue else None
+                if x is None:
+                    x, apart = int(apart[0]), apart[1:]
+                near = np.bitwise_count(bits[apart] ^ bits[x]).sum(1, dtype=np.int64) * (100 + percent) <= (n[apart] + n[x]) * (100 - percent)
+                for y in apart[near].tolist():
+                    a, b = find(own[x]), find(own[y])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((own[x], own[y]))
+                queue += apart[near].tolist()
+                apart = apart[~near]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
-            i, n, c = (np.frombuffer(x.as_py(), np.int64) for x in row)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n), pa.array(c, mask=c < 0)], ["doc_id", "n_shingles", "class"])
+        for row in zip(*(b.column(k) for k in (1, 2, 3)), b.column(4), strict=True):
+            i, n, c = (np.frombuffer(x.as_py(), np.int64) for x in row[:3])
+            ends = np.cumsum([sketch_bits(k) // 8 if k else 0 for k in n.tolist()]).tolist()
+            data = row[3].as_py()
+            own = [data[e - (sketch_bits(k) // 8 if k else 0) : e] for e, k in zip(ends, n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n), pa.array(c, mask=c < 0), pa.array(own, pa.binary())], ["doc_id", "n_shingles", "class", "sketch"])
 
 
 def bloom(ids: DataFrame, column: str) -> np.ndarray:
@@ -243,15 +303,18 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
     packed = stored(class_and_signatures(docs, shingle, percent, buckets), "jaccard-signatures")
-    every = stored(packed.where("bucket < 0").mapInArrow(_unpack, "doc_id long, n_shingles long, class long"), "jaccard-classes")
-    met = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
+    every = stored(packed.where("bucket < 0").mapInArrow(_unpack, "doc_id long, n_shingles long, class long, sketch binary"), "jaccard-classes")
+    runs = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_runs, "run long, class long").distinct()
+    known = every.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    runs = salted_join(runs, known, "class", 4, "inner", "run").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+    met = runs.select("bucket", "run", "class", "n_shingles", "sketch").groupBy("bucket").applyInArrow(_links_of_runs(percent), "a long, b long").distinct()
     cluster = components(met, "jaccard-clusters")
     discard(packed)
     reps = every.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     member = stored(reps.join(cluster, reps["class"] == cluster["id"]).select("class", "rep", F.col("component").alias("cluster")), "jaccard-members")
     found = components(clusters_to_links(docs, member.select("rep", "cluster"), shingle, percent), "jaccard-components")
     of = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = salted_join(every, of, "class", 16, "left")
+    out = salted_join(every.drop("sketch"), of, "class", 16, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
