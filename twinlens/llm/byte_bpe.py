@@ -32,7 +32,7 @@ from .common import stored
 #: Bounds of the broadcast table of frequent words.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
 #: Characters of the documents that share their other words.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 _SHARDS = 1 << 15
 _NONE = 2**31 - 1
 
@@ -111,7 +111,7 @@ def _count(pattern: str, column: int = 0):
         for b in batches:
             for t in b.column(column):
                 seen.update(find(t.as_py() or ""))
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 17:
                 yield out()
         yield out()
 
@@ -146,11 +146,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     literal = rank_map(ranks)
     head = head_table(docs.select(text), pattern, head_words).repartition(2 * spark.sparkContext.defaultParallelism)
     folded = head.mapInArrow(_grouped, "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(_packed, "word string, ids binary").toArrow()
-    table = spark.sparkContext.broadcast((dict(zip(folded["word"].to_pylist(), range(len(folded)), strict=True)), folded["ids"].to_pylist()))
+    # each of the two Python steps below gets the half that it needs
+    numbers = spark.sparkContext.broadcast(dict(zip(folded["word"].to_pylist(), range(len(folded)), strict=True)))
+    packs = spark.sparkContext.broadcast(folded["ids"].to_pylist())
     del folded
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, at = regex.compile(pattern).findall, table.value[0]
+        find, at = regex.compile(pattern).findall, numbers.value
         for b in batches:
             texts, k = b.column(b.num_columns - 1), 0
             while k < b.num_rows:
@@ -168,7 +170,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 yield pa.RecordBatch.from_arrays([*b.slice(first, k - first).columns[:-1], pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], [*names, "_codes", "_rest"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, own = table.value[1], []
+        packed, own = packs.value, []
         for b in batches:
             ids = []
             for codes, rest in zip(b.column(len(names)), b.column(len(names) + 1), strict=True):

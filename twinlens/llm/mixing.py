@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, bare
+from .common import WORD, bare, stored
 
 #: No document is taken more often than this, so no target is above this many times its source's size.
 MOST = 3
@@ -47,6 +47,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         "_class": F.floor(F.sqrt("size")).cast("int"),
         "_salt": F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 2), 16, 10).cast("int"),
     })
+    sized = stored(sized, "mixing-sizes")  # texts are read once
     cell = ["_key", "_class", "_salt"]
     cells = sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     inner = W.partitionBy("_key", "_class").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
