@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored
+from .common import lean, stored
 
 #: Bounds of the broadcast table of frequent words.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
@@ -120,7 +120,7 @@ def _count(pattern: str, column: int = 0):
 
 def head_table(texts: DataFrame, pattern: str, limit: int) -> DataFrame:
     """The frequent words: those whose count is at least the least power of two that leaves no more than ``limit``."""
-    words = stored(texts.mapInArrow(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    words = stored(texts.mapInArrow(lean(_count(pattern)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
     by_bits, total, least = words.groupBy(F.length(F.bin("n")).alias("bits")).count().orderBy(F.desc("bits")).collect(), 0, 64
     for bits, n in by_bits:
         if (total := total + n) > limit:
@@ -145,7 +145,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     spark = docs.sparkSession
     literal = rank_map(ranks)
     head = head_table(docs.select(text), pattern, head_words).repartition(2 * spark.sparkContext.defaultParallelism)
-    folded = head.mapInArrow(_grouped, "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(_packed, "word string, ids binary").toArrow()
+    folded = head.mapInArrow(lean(_grouped), "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(lean(_packed), "word string, ids binary").toArrow()
     # each of the two Python steps below gets the half that it needs
     numbers = spark.sparkContext.broadcast(dict(zip(folded["word"].to_pylist(), range(len(folded)), strict=True)))
     packs = spark.sparkContext.broadcast(folded["ids"].to_pylist())
@@ -182,9 +182,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     names = list(keep)
     kept = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
-    coded = kept.mapInArrow(places, f"{kinds}, _codes binary, _rest array<string>")
+    coded = kept.mapInArrow(lean(places), f"{kinds}, _codes binary, _rest array<string>")
     coded = coded.select(*keep, "_codes", fold(F.col("_rest"), literal).alias("_rest"))
-    return coded.mapInArrow(assemble, f"{kinds}, ids binary")
+    return coded.mapInArrow(lean(assemble), f"{kinds}, ids binary")
 
 
 def decode_pieces(ids: bytes, pieces: dict[int, bytes]) -> bytes:
@@ -212,7 +212,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) ->
                     more = [pa.array(ids, pa.binary()), pa.array(text, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*c.columns[:-1], *more], [*names, *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
-    return kept.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"{kinds}, ids binary, decoded binary")
+    return kept.mapInArrow(lean(run), f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"{kinds}, ids binary, decoded binary")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

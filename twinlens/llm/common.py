@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR.
@@ -40,6 +44,32 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that Python has freed back to the system: a worker lives on after its task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` over batches, with ``release`` at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        release()
+
+    return run
+
+
+def lean_group(fn: Callable) -> Callable:
+    def run(table):
+        out = fn(table)
+        release()
+        return out
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

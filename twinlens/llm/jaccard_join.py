@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, discard, partitions, salted_join, stored
+from .common import components, discard, lean, lean_group, partitions, salted_join, stored
 from .shingles import Hasher, mix, shingle_set
 
 #: Classes of a searched block; bits of the Bloom filter; signatures that a task holds before it sends them.
@@ -139,7 +139,7 @@ def class_and_signatures(docs: DataFrame, shingle: int, percent: int, buckets: i
                 yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, a binary, b binary, c binary, d binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "bucket int, a binary, b binary, c binary, d binary")
 
 
 def _runs(table: pa.Table) -> pa.Table:
@@ -282,7 +282,7 @@ def clusters_to_links(docs: DataFrame, member: DataFrame, shingle: int, percent:
         for ids, sets in _sets(some(), shingle):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
 
-    sets = maybe.mapInArrow(run, "rep long, set binary")
+    sets = maybe.mapInArrow(lean(run), "rep long, set binary")
     sizes = member.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     member = salted_join(member, sizes, "cluster", 16, "inner", "rep")
     rows = sets.join(member, "rep").dropDuplicates(["rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -303,11 +303,11 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
     packed = stored(class_and_signatures(docs, shingle, percent, buckets), "jaccard-signatures")
-    every = stored(packed.where("bucket < 0").mapInArrow(_unpack, "doc_id long, n_shingles long, class long, sketch binary"), "jaccard-classes")
-    runs = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_runs, "run long, class long").distinct()
+    every = stored(packed.where("bucket < 0").mapInArrow(lean(_unpack), "doc_id long, n_shingles long, class long, sketch binary"), "jaccard-classes")
+    runs = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(_runs), "run long, class long").distinct()
     known = every.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     runs = salted_join(runs, known, "class", 4, "inner", "run").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
-    met = runs.select("bucket", "run", "class", "n_shingles", "sketch").groupBy("bucket").applyInArrow(_links_of_runs(percent), "a long, b long").distinct()
+    met = runs.select("bucket", "run", "class", "n_shingles", "sketch").groupBy("bucket").applyInArrow(lean_group(_links_of_runs(percent)), "a long, b long").distinct()
     cluster = components(met, "jaccard-clusters")
     discard(packed)
     reps = every.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .common import lean
+
 #: Size of the training sample for each language, the number of hashed features, passes over the sample.
 PER_LANG, BITS, EPOCHS = 400, 13, 6
 #: ISO 639-1 codes of language families.
@@ -113,7 +115,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             x = [features(t.as_py()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    rows = some.mapInArrow(run, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    rows = some.mapInArrow(lean(run), "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.array([np.frombuffer(v, np.float32) for v in rows["x"].to_pylist()])
     return Model(langs, x, np.array([langs.index(a) for a in rows["lang"].to_pylist()]))
 
@@ -137,7 +139,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                         langs[i], scores[i] = a, float(s)
                 yield pa.RecordBatch.from_arrays([*c.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return kept.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
 
 
 def held_out() -> Column:

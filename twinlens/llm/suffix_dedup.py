@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions
+from .common import lean, lean_group, partitions
 from .shingles import mix
 
 GRAM, PIECE, HELD = 24, 1 << 19, 1 << 20
@@ -196,8 +196,8 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int, hot: int = HOT) -
             out.append(np.packbits(marks, bitorder="little").tobytes())
         return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "shared": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1]], pa.binary())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, _KIND).select("bucket", "a", "b")
-    rows = sent.groupBy("bucket").applyInArrow(meet, "bucket int, shared binary, hot binary").toArrow().to_pylist()
+    sent = docs.select("doc_id", "text").mapInArrow(lean(send), _KIND).select("bucket", "a", "b")
+    rows = sent.groupBy("bucket").applyInArrow(lean_group(meet), "bucket int, shared binary, hot binary").toArrow().to_pylist()
     out = []
     for name, bits in (("shared", SHARED_BITS), ("hot", HOT_BITS)):
         own = bits // buckets // 8
@@ -373,8 +373,8 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
         null = doc[head] == _NULL_ID
         return pa.table({"doc_id": pa.array(doc[head], pa.int64(), mask=null), "starts": pa.array([x.tobytes() for x in parts[0]], pa.binary()), "ends": pa.array([x.tobytes() for x in parts[1]], pa.binary())})
 
-    ranges = docs.select("doc_id", "text").mapInArrow(send, _KIND).groupBy("kind", "bucket").applyInArrow(meet, _KIND)
-    return ranges.select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(per_document, "doc_id long, starts binary, ends binary")
+    ranges = docs.select("doc_id", "text").mapInArrow(lean(send), _KIND).groupBy("kind", "bucket").applyInArrow(lean_group(meet), _KIND)
+    return ranges.select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(lean_group(per_document), "doc_id long, starts binary, ends binary")
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcde")])
@@ -462,7 +462,7 @@ def cut(docs: DataFrame, length: int = 50) -> DataFrame:
                 texts.append(t if not s else _keep(t.encode(), s, e.as_py())[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : len(names)]], names)
 
-    return both.select(*names, "_starts", "_ends").mapInArrow(run, docs.schema)
+    return both.select(*names, "_starts", "_ends").mapInArrow(lean(run), docs.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,4 +480,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return both.select("doc_id", "text", "starts", "ends").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select("doc_id", "text", "starts", "ends").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, partitions, scratch_path, stored
+from .common import discard, lean, partitions, scratch_path, stored
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 18
 
@@ -61,7 +61,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, ki
                     ids.append(np.asarray(x).astype(kind).tobytes() + end)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -148,7 +148,7 @@ def write(tokens: DataFrame, path: str, kind: str = "<u2") -> None:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], ["id", "n"])
 
     # the vocabulary's size bounds what comes to the driver
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = tokens.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = (np.array(counts[c].to_pylist(), np.int64) for c in ("id", "n"))
     all_counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     all_counts[ids] = n
@@ -183,7 +183,7 @@ def write(tokens: DataFrame, path: str, kind: str = "<u2") -> None:
     names = ["doc_ids", "sizes", "before", "n_ids", "bits", "checkpoints"]
     kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     spread = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    blocks = spread.mapInArrow(encode, "doc_ids array<long>, sizes array<long>, before long, n_ids long, bits binary, checkpoints binary")
+    blocks = spread.mapInArrow(lean(encode), "doc_ids array<long>, sizes array<long>, before long, n_ids long, bits binary, checkpoints binary")
     blocks.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/blocks")
 
 
@@ -210,7 +210,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + before + offset[part], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
 
     kept = blocks.select("doc_ids", "sizes", "before", "n_ids", "bits", "checkpoints", "part")
-    return kept.mapInArrow(decode, "doc_id long, start long, ids binary")
+    return kept.mapInArrow(lean(decode), "doc_id long, start long, ids binary")
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,4 +227,4 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
             ids = [x.as_py() for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path).mapInArrow(lean(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
