@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lean, stored
+from .common import lean, small_batches, stored
 
 #: Bounds of the broadcast table of frequent words.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
@@ -144,6 +144,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """``keep`` columns and ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text), one row per row."""
     spark = docs.sparkSession
     literal = rank_map(ranks)
+    small_batches(spark)
     head = head_table(docs.select(text), pattern, head_words).repartition(2 * spark.sparkContext.defaultParallelism)
     folded = head.mapInArrow(lean(_grouped), "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(lean(_packed), "word string, ids binary").toArrow()
     # each of the two Python steps below gets the half that it needs

@@ -44,6 +44,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts, which are held by the JVM and by Python at once. A lower setting stands."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        with contextlib.suppress(Exception):  # not every version of Spark has both
+            now = spark.conf.get(key)
+            if not now.isdigit() or not 0 < int(now) <= most:
+                spark.conf.set(key, str(most))
+
+
 def release() -> None:
     """Give memory that Python has freed back to the system: a worker lives on after its task, beside the JVM."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, partitions, salted_join, stored
+from .common import components, partitions, salted_join, small_batches, stored
 
 #: Filters that a vector exceeds on average, unrelated vectors of a filter on average, rows of a compared block.
 FILTERS, SHARE, BLOCK = 44, 96, 768
@@ -118,6 +118,7 @@ def compare(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     rows = rows.select("vec_id", F.when(usable(F.col("x")), F.col("x")).alias("x"))
     # -0.0 equals 0.0 in a class, as it does in the cosine

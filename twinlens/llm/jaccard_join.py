@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, discard, lean, lean_group, partitions, salted_join, stored
+from .common import components, discard, lean, lean_group, partitions, salted_join, small_batches, stored
 from .shingles import Hasher, mix, shingle_set
 
 #: Classes of a searched block; bits of the Bloom filter; signatures that a task holds before it sends them.
@@ -302,6 +302,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: ``component_id`` is the smallest id that links reach."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
+    small_batches(spark)
     packed = stored(class_and_signatures(docs, shingle, percent, buckets), "jaccard-signatures")
     every = stored(packed.where("bucket < 0").mapInArrow(lean(_unpack), "doc_id long, n_shingles long, class long, sketch binary"), "jaccard-classes")
     runs = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(_runs), "run long, class long").distinct()

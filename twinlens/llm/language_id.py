@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import lean
+from .common import lean, small_batches
 
 #: Size of the training sample for each language, the number of hashed features, passes over the sample.
 PER_LANG, BITS, EPOCHS = 400, 13, 6
@@ -123,6 +123,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred and score for every row of ``docs``; only the text is read for the prediction."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
 

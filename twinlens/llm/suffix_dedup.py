@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import lean, lean_group, partitions
+from .common import lean, lean_group, partitions, small_batches
 from .shingles import mix
 
 GRAM, PIECE, HELD = 24, 1 << 19, 1 << 20
@@ -287,6 +287,7 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, starts, ends): the ranges to remove, packed 64-bit integers in order, for every document that has some."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
+    small_batches(spark)
     # ranges go to fewer buckets, as each of the others may have some for each of these
     meeting = max(8, buckets // 8)
     filters = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets, hot))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, lean, partitions, scratch_path, stored
+from .common import discard, lean, partitions, scratch_path, small_batches, stored
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 18
 
@@ -48,6 +48,7 @@ def _engines(tokenizer_file: str, pattern: str):
 
 def tokenize(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, kind: str = "<u2") -> DataFrame:
     """(doc_id, ids): ids packed as ``kind`` (which must hold them), ``end_id`` last; those of the tokenizers library without its special tokens."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, engine, special = _engines(tokenizer_file, pattern)

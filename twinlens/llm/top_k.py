@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 #: Rows of a block of candidates and of queries; candidates taken at a time.
 CANDIDATES, QUERIES, CHUNK = 4096, 1024, 256
@@ -103,6 +103,7 @@ def best(k: int, turns: dict[int, np.ndarray]):
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best other rows for every row that is a query."""
     rows = stored(integers(vectors, scale), "topk-integers")
+    small_batches(vectors.sparkSession)
     turns = rotations(rows)
     queries = rows.where(is_query)
     n, m = rows.count(), queries.count()
