@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import lean, small_batches, stored
 
 #: Bounds of the broadcast table of frequent words.
-HEAD_WORDS, HEAD_BYTES = 1 << 18, 48
+HEAD_WORDS, HEAD_BYTES = 1 << 16, 48
 #: Characters of the documents that share their other words.
 CHUNK = 4 << 20
 _SHARDS = 1 << 15

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .common import lean, small_batches
 
 #: Size of the training sample for each language, the number of hashed features, passes over the sample.
-PER_LANG, BITS, EPOCHS = 400, 13, 6
+PER_LANG, BITS, EPOCHS = 400, 12, 6
 #: ISO 639-1 codes of language families.
 FAMILIES = {
     "germanic": "en de nl sv da no is af",
@@ -130,8 +130,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letter = shipped.value, regex.compile(r"\p{L}").search
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                c = b.slice(k, 512)
+            for k in range(0, b.num_rows, 128):
+                c = b.slice(k, 128)
                 texts = [t.as_py() for t in c.column(c.num_columns - 1)]
                 can = [i for i, t in enumerate(texts) if m.langs and t and letter(t)]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
