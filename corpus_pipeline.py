@@ -36,8 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
-    return byte_bpe.decode(ids, ranks).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, ("doc_id", "lang", "source")).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

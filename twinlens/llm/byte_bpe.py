@@ -20,7 +20,7 @@ import hashlib
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .common import lean, small_batches, stored
 #: Bounds of the broadcast table of frequent words.
 HEAD_WORDS, HEAD_BYTES = 1 << 16, 48
 #: Characters of the documents that share their other words.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _SHARDS = 1 << 15
 _NONE = 2**31 - 1
 
@@ -140,8 +140,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.as_py(), pa.string()), pa.array([np.array(x, "<u4").tobytes() for x in ids.as_py()], pa.binary())], ["word", "ids"])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS) -> DataFrame:
-    """``keep`` columns and ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text), one row per row."""
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], head_words: int) -> tuple[DataFrame, Callable, str]:
+    """Documents as places in the table of words, beside the ids of their other words; what makes ids of them; kept columns' types."""
     spark = docs.sparkSession
     literal = rank_map(ranks)
     small_batches(spark)
@@ -185,6 +185,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
     coded = kept.mapInArrow(lean(places), f"{kinds}, _codes binary, _rest array<string>")
     coded = coded.select(*keep, "_codes", fold(F.col("_rest"), literal).alias("_rest"))
+    return coded, assemble, kinds
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS) -> DataFrame:
+    """``keep`` columns and ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text), one row per row."""
+    coded, assemble, kinds = _coded(docs, ranks, pattern, text, keep, head_words)
     return coded.mapInArrow(lean(assemble), f"{kinds}, ids binary")
 
 
@@ -192,18 +198,14 @@ def decode_pieces(ids: bytes, pieces: dict[int, bytes]) -> bytes:
     return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) -> DataFrame:
-    """Add ``decoded``: the concatenated pieces (binary); with ``digest`` the digests that the query returns instead of both."""
-    names = [c for c in encoded.columns if c != "ids"]
-    pieces = encoded.sparkSession.sparkContext.broadcast({r: b for b, r in ranks.items()})
-    kept = encoded.select(*names, "ids")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
+def _decoder(spark: SparkSession, ranks: dict[bytes, int], names: list[str], digest: bool) -> tuple[Callable, str]:
+    pieces = spark.sparkContext.broadcast({r: b for b, r in ranks.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                c = b.slice(k, 512)
+            for k in range(0, b.num_rows, 256):
+                c = b.slice(k, 256)
                 ids = [x.as_py() for x in c.column(len(names))]
                 text = [decode_pieces(x, table) for x in ids]
                 if digest:
@@ -213,7 +215,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) ->
                     more = [pa.array(ids, pa.binary()), pa.array(text, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*c.columns[:-1], *more], [*names, *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
-    return kept.mapInArrow(lean(run), f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"{kinds}, ids binary, decoded binary")
+    return run, "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) -> DataFrame:
+    """Add ``decoded``: the concatenated pieces (binary); with ``digest`` the digests that the query returns instead of both."""
+    names = [c for c in encoded.columns if c != "ids"]
+    kept = encoded.select(*names, "ids")
+    run, more = _decoder(encoded.sparkSession, ranks, names, digest)
+    return kept.mapInArrow(lean(run), ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + f", {more}")
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
+    """``decode`` of ``encode``, both in one Python step, so that a task has one worker less."""
+    coded, assemble, kinds = _coded(docs, ranks, pattern, "text", keep, HEAD_WORDS)
+    run, more = _decoder(docs.sparkSession, ranks, list(keep), digest)
+    return coded.mapInArrow(lean(lambda batches: run(assemble(batches))), f"{kinds}, {more}")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,4 +238,4 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks, digest=True)
+    return encode_and_decode(docs, ranks, public_tokenizers.PATTERN, digest=True)
