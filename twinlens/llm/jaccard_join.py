@@ -30,7 +30,7 @@ from .common import components, discard, lean, lean_group, partitions, salted_jo
 from .shingles import Hasher, mix, shingle_set
 
 #: Classes of a searched block; bits of the Bloom filter; signatures that a task holds before it sends them.
-BLOCK, BLOOM_BITS, HELD = 256, 1 << 24, 1 << 20
+BLOCK, BLOOM_BITS, HELD = 256, 1 << 24, 1 << 18
 #: DivideSkip's weight of the number of long lists.
 MU = 0.0085
 _U = np.uint64

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import lean, lean_group, partitions, small_batches
 from .shingles import mix
 
-GRAM, PIECE, HELD = 24, 1 << 19, 1 << 20
+GRAM, PIECE, HELD = 24, 1 << 18, 1 << 19
 #: Bits of the filters of repeated and of frequent anchors; occurrences that make an anchor frequent.
 SHARED_BITS, HOT_BITS, HOT = 1 << 26, 1 << 22, 1024
 _U = np.uint64
