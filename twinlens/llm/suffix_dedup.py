@@ -286,10 +286,10 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray,
 def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, starts, ends): the ranges to remove, packed 64-bit integers in order, for every document that has some."""
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = 6 * partitions(spark)
     small_batches(spark)
     # ranges go to fewer buckets, as each of the others may have some for each of these
-    meeting = max(8, buckets // 8)
+    meeting = max(8, buckets // 24)
     filters = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets, hot))
     width, full = length - GRAM + 1, 2 * length - GRAM
 
