@@ -1,7 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
 Words are the matches of the tokenizer's split pattern. Merges are folded by Spark higher-order functions over the
-byte arrays of distinct words, with the ranks as one literal map (sharded by hash, as Spark scans a map's keys):
+byte arrays of distinct words, with the ranks of pairs as one literal map (a perfect hash table in arrays, as Spark scans
+a map's keys):
 
 1. a pass counts the words; the frequent ones, at most ``head_words`` of at most ``HEAD_BYTES`` bytes each, are folded
    once and their ids broadcast (a table of proven size, which only saves work);
@@ -18,9 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from .common import lean, small_batches, stored
 HEAD_WORDS, HEAD_BYTES = 1 << 16, 48
 #: Characters of the documents that share their other words.
 CHUNK = 2 << 20
-_SHARDS = 1 << 15
+#: The split pattern (fixed value) whose matches can be found piece by piece.
+BY_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 2**31 - 1
 
 
@@ -43,62 +45,153 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, a piece being in the map of its checksum. Bytes are Latin-1 characters."""
-    shards: list[dict[str, int]] = [{} for _ in range(_SHARDS)]
-    for b, r in ranks.items():
-        k = b.decode("latin-1")
-        shards[zlib.crc32(k.encode()) % _SHARDS][k] = r
-    return F.from_json(F.lit(json.dumps(shards)), "array<map<string,int>>")
+class RankMap(NamedTuple):
+    """The ranks of pairs of ids as a literal, a perfect hash table: pair key k is in slot (k * mix + shift of its group) % slots.
+
+    An id takes ``bits`` bits. ``whole`` has the pieces that no merges reach, and their ids.
+    """
+
+    table: Column
+    bits: int
+    groups: int
+    slots: int
+    whole: dict[str, int]
+
+
+#: Multipliers of a pair's key (under 2**41 for ids of 20 bits): products stay below 2**63.
+_MIX_GROUP, _MIX_SLOT = 2654435, 1640531
+
+
+def _prime(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def _merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that merges alone make of ``word``."""
+    p = [word[i : i + 1] for i in range(len(word))]
+    while len(p) > 1:
+        r, i = min((ranks.get(p[i] + p[i + 1], _NONE), i) for i in range(len(p) - 1))
+        if r == _NONE:
+            break
+        p[i : i + 2] = [p[i] + p[i + 1]]
+    return p
+
+
+def rank_map(ranks: dict[bytes, int]) -> RankMap:
+    """The literal of a vocabulary whose ids are its ranks and that holds every single byte."""
+    bits = (max(ranks.values()) + 2).bit_length()
+    if bits > 20:
+        raise ValueError("ids of more than 20 bits")
+    pairs = {(ranks[b[:i]] << bits) + ranks[b[i:]] + 1: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
+    groups, slots = _prime(len(pairs) // 3 + 1), _prime(len(pairs) * 4 // 3 + 2)
+    members: dict[int, list[int]] = {}
+    for k in pairs:
+        members.setdefault(k * _MIX_GROUP % groups, []).append(k)
+    table, shifts, taken, start = [0] * slots, [0] * groups, bytearray(slots), 0
+    for g in sorted(members, key=lambda g: -len(members[g])):
+        homes = [k * _MIX_SLOT % slots for k in members[g]]
+        if len(set(homes)) < len(homes):
+            raise ValueError("two pairs of a group share a slot")
+        start = (start + 7919) % slots
+        shifts[g] = next(d % slots for d in range(start, start + slots) if not any(taken[(h + d) % slots] for h in homes))
+        for k, h in zip(members[g], homes, strict=True):
+            taken[x := (h + shifts[g]) % slots] = 1
+            table[x] = (k << bits) + pairs[k]
+    literal = json.dumps({"single": [ranks[bytes([i])] for i in range(256)], "shift": shifts, "pair": table})
+    whole = {b.decode("latin-1"): r for b, r in ranks.items() if len(b) > 1 and len(_merged(b, ranks)) > 1}
+    return RankMap(F.from_json(F.lit(literal), "single array<bigint>, shift array<bigint>, pair array<bigint>"), bits, groups, slots, whole)
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(words: Column, ranks: Column) -> Column:
+def fold(words: Column, ranks: RankMap) -> Column:
     """Ids of each word of an array of strings. The literal is bound once, so that a plan holds one copy of it."""
-    return _let(ranks, lambda table: F.transform(words, lambda w: _fold_one(w, table)))
+    return _let(ranks.table, lambda table: F.transform(words, lambda w: _fold_one(w, table, ranks)))
 
 
-def _fold_one(word: Column, ranks: Column) -> Column:
-    """Merge the adjacent pair of least rank, leftmost first, until no pair has a rank."""
+def _fold_one(word: Column, table: Column, ranks: RankMap) -> Column:
+    """Merge the adjacent pair of least rank, leftmost first, until no pair has a rank.
 
-    def find(piece: Column) -> Column:
-        return F.try_element_at(F.get(ranks, (F.crc32(F.encode(piece, "UTF-8")) % _SHARDS).cast("int")), piece)
+    A symbol is one long: rank of the pair that it starts, its offset in the word, its id. So the least symbol is the
+    one to merge, and its rank is the id of what comes of it.
+    """
+    bits, high = ranks.bits, 62 - ranks.bits
+    ids, none = F.lit((1 << bits) - 1), F.lit((1 << bits) - 1).cast("long")
+    low, offset = F.lit((1 << high) - 1), F.lit((1 << high) - (1 << bits))
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(find(piece), F.lit(_NONE))
+    def key(a: Column, b: Column) -> Column:
+        return F.shiftleft(a, bits) + b + 1
 
-    def state(p: Column, r: Column) -> Column:
-        return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))
+    def rank(k: Column) -> Column:
+        """Where the slot holds another pair or none, or there is no pair (null), ``none``."""
+        shift = F.get(table["shift"], (k * _MIX_GROUP % ranks.groups).cast("int"))
+        found = F.get(table["pair"], ((k * _MIX_SLOT + shift) % ranks.slots).cast("int"))
+        return F.least(found.bitwiseXOR(F.shiftleft(k, bits)), none)
 
     def merge(s: Column, _: Column) -> Column:
-        def at(i: Column) -> Column:
-            def joined(x: Column) -> Column:
-                p, r = s["p"], s["r"]
-                none = F.array().cast("array<int>")
-                left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), x)))).otherwise(none)
-                right = F.when(i + 1 < F.size(p), F.array(rank(F.concat(x, F.get(p, i + 1))))).otherwise(none)
-                new_r = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
-                new_p = F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p)))
-                return _let(F.struct(new_p.alias("p"), new_r.alias("r")), lambda t: state(t["p"], t["r"]))
+        def at(least: Column) -> Column:
+            new, here = F.shiftright(least, high), least.bitwiseAND(offset)
+
+            def joined(i: Column) -> Column:
+                before, after = F.get(s, i - 1), F.get(s, i + 2)
+                own = F.shiftleft(rank(key(new, after.bitwiseAND(ids))), high).bitwiseOR(here).bitwiseOR(new)
+                left = F.shiftleft(rank(key(before.bitwiseAND(ids), new)), high).bitwiseOR(before.bitwiseAND(low))
+                rest = F.slice(s, i + 3, F.size(s))
+                return F.flatten(F.when(i > 0, F.array(F.slice(s, F.lit(1), i - 1), F.array(left, own), rest)).otherwise(F.array(F.array(own), rest)))
 
-            return _let(F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)), joined)
+            # its index is the number of smaller offsets; array_position leaves its loop by an exception, which is slow in short words
+            short = F.size(F.filter(s, lambda x: x.bitwiseAND(offset) < here))
+            index = F.when(F.size(s) <= 64, short).otherwise(F.array_position(s, least).cast("int") - 1)
+            return F.when(new == none, s).otherwise(_let(index, joined))
 
-        return F.when(F.coalesce(s["m"], F.lit(_NONE)) == _NONE, s).otherwise(_let(F.array_position(s["r"], s["m"]).cast("int"), at))
+        return _let(F.array_min(s), at)
 
-    def by_merges(p: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i))))
-        first = _let(pairs, lambda r: state(p, r))
-        return F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), first, merge, lambda s: F.transform(s["p"], rank))
+    def by_merges(c: Column) -> Column:
+        first = F.transform(c, lambda x, i: F.shiftleft(rank(key(x, F.get(c, i + 1))), high).bitwiseOR(F.shiftleft(i.cast("long"), bits)).bitwiseOR(x))
+        return F.aggregate(F.slice(c, F.lit(2), F.size(c)), first, merge, lambda s: F.transform(s, lambda x: x.bitwiseAND(ids).cast("int")))
 
     def of(chars: Column) -> Column:
-        return _let(find(chars), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(chars, "(?!^)"), by_merges)))
+        singles = F.transform(F.split(chars, ""), lambda x: F.get(table["single"], F.ascii(x)))
+        if not ranks.whole:
+            return _let(singles, by_merges)
+        known = F.from_json(F.lit(json.dumps(ranks.whole)), "map<string,int>")
+        return _let(F.try_element_at(known, chars), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(_let(singles, by_merges)))
 
     return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
 
 
+class Pieces(dict):
+    """What is made of each piece of a text that is split at single spaces.
+
+    Under ``BY_SPACE`` no word goes beyond the space after it unless that space is part of a longer run, so the words of
+    a piece with the space before it do not depend on the rest of the text. A piece that is empty or that starts or
+    ends with white space may be part of such a run: its text is matched as a whole (``KeyError``).
+    """
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, piece: str):
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise KeyError(piece)
+        made = self[piece] = self.make(" " + piece)
+        return made
+
+    def of(self, text: str) -> tuple[str, list] | None:
+        """The piece before the first space, and what is made of the others; none if the text can't be split."""
+        first, *others = text.split(" ")
+        if not first or first[0].isspace() or first[-1].isspace():
+            return None
+        try:
+            return first, list(map(self.__getitem__, others))
+        except KeyError:
+            return None
+
+
 def _count(pattern: str, column: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = regex.compile(pattern).findall, Counter()
@@ -154,21 +247,34 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, at = regex.compile(pattern).findall, numbers.value
+        other: dict[str, int] = {}
+        passing: list[str] = []
+
+        def coded(text: str) -> bytes:
+            words = find(text)
+            own = list(map(at.get, words))
+            if None in own:  # these codes hold in this chunk alone
+                own = [other.setdefault(w, ~len(other)) if x is None else x for x, w in zip(own, words, strict=True)]
+                passing.append(text[1:])
+            return np.array(own, "<i4").tobytes()
+
+        parts = Pieces(coded)
         for b in batches:
             texts, k = b.column(b.num_columns - 1), 0
             while k < b.num_rows:
-                other: dict[str, int] = {}
                 codes, held, first = [], 0, k
                 while k < b.num_rows and held < CHUNK:
                     t = texts[k].as_py() or ""
-                    words = find(t)
-                    own = list(map(at.get, words))
-                    if None in own:
-                        own = [other.setdefault(w, ~len(other)) if x is None else x for x, w in zip(own, words, strict=True)]
-                    codes.append(np.array(own, "<i4").tobytes())
+                    split = parts.of(t) if pattern == BY_SPACE else None
+                    codes.append(coded(split[0]) + b"".join(split[1]) if split else coded(t))
                     held, k = held + len(t), k + 1
                 rest = [list(other)] + [None] * (len(codes) - 1)
                 yield pa.RecordBatch.from_arrays([*b.slice(first, k - first).columns[:-1], pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], [*names, "_codes", "_rest"])
+                for p in passing:
+                    parts.pop(p, None)
+                other.clear(), passing.clear()
+                if len(parts) > 1 << 16:
+                    parts.clear()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, own = packs.value, []
