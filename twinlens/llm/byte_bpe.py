@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lean, small_batches, stored
+from .common import lean, release, short_plans, small_batches, stored
 
 #: Bounds of the broadcast table of frequent words.
 HEAD_WORDS, HEAD_BYTES = 1 << 16, 48
@@ -238,12 +238,14 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
     spark = docs.sparkSession
     literal = rank_map(ranks)
     small_batches(spark)
+    short_plans(spark)
     head = head_table(docs.select(text), pattern, head_words).repartition(2 * spark.sparkContext.defaultParallelism)
     folded = head.mapInArrow(lean(_grouped), "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(lean(_packed), "word string, ids binary").toArrow()
     # each of the two Python steps below gets the half that it needs
     numbers = spark.sparkContext.broadcast(dict(zip(folded["word"].to_pylist(), range(len(folded)), strict=True)))
     packs = spark.sparkContext.broadcast(folded["ids"].to_pylist())
     del folded
+    release()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, at = regex.compile(pattern).findall, numbers.value

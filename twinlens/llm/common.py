@@ -53,6 +53,12 @@ def small_batches(spark: SparkSession) -> None:
                 spark.conf.set(key, str(most))
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Bound the plans' text, which the driver keeps for each query: one with a large literal has megabytes of it."""
+    with contextlib.suppress(Exception):  # the setting may be another in other versions
+        spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))
+
+
 def release() -> None:
     """Give memory that Python has freed back to the system: a worker lives on after its task, beside the JVM."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import lean, small_batches
+from .common import lean, release, small_batches
 
 #: Size of the training sample for each language, the number of hashed features, passes over the sample.
 PER_LANG, BITS, EPOCHS = 400, 12, 6
@@ -117,7 +117,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     rows = some.mapInArrow(lean(run), "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.array([np.frombuffer(v, np.float32) for v in rows["x"].to_pylist()])
-    return Model(langs, x, np.array([langs.index(a) for a in rows["lang"].to_pylist()]))
+    model = Model(langs, x, np.array([langs.index(a) for a in rows["lang"].to_pylist()]))
+    del rows, x
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

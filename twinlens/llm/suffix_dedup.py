@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import lean, lean_group, partitions, small_batches
+from .common import lean, lean_group, partitions, release, small_batches
 from .shingles import mix
 
 GRAM, PIECE, HELD = 24, 1 << 18, 1 << 19
@@ -291,6 +291,7 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     # ranges go to fewer buckets, as each of the others may have some for each of these
     meeting = max(8, buckets // 24)
     filters = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets, hot))
+    release()
     width, full = length - GRAM + 1, 2 * length - GRAM
 
     def covers(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
