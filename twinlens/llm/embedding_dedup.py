@@ -1,24 +1,24 @@
 """Operator 2: near-duplicate embeddings by spherical-cap filters.
 
-A random product code gives filter directions: the space is cut into ``blocks`` of coordinates after a random
-rotation, each with ``words`` random code words, and a filter is one word of each block. A vector is decoded to the
-list of all filters whose direction it exceeds by a cap threshold; partial sums are cut off by the largest that
-the remaining blocks can add. Vectors that share a filter are compared, each pair in the smallest filter that both
-exceed, by cosine in double precision. The cap shrinks with the number of vectors, so that a filter's share of
-unrelated vectors stays the same; a filter with more than ``BLOCK`` vectors is compared in pairs of blocks. Tasks
-return link counts and a spanning forest of their links, never the pairs.
+Random product codes give filter directions: each of ``CODES`` codes cuts the space into blocks of coordinates after
+its own random rotation, each with random code words, and a filter is one word of each block. A vector goes to the
+``BEST`` filters of each code whose directions are nearest to it, whatever their distance, so no vector is without
+filters at any size of the table. Vectors that share a filter are compared, each pair in the smallest filter that both
+have, by cosine in double precision. The number of filters grows with the number of vectors, so that a filter's share
+of unrelated vectors stays the same, but not beyond the number at which a filter is a cap of ``NARROW``, as narrower
+caps would part near vectors (few dimensions); a filter with more than ``BLOCK`` vectors is compared in pairs of blocks.
+Tasks return link counts and a spanning forest of their links, never the pairs.
 
 Equal vectors are one class, compared once and counted with its size. Vectors that are null, zero, or hold null or
 non-finite components link with nothing; so do vectors of different lengths. Repeated ids count as rows each. Extra
-columns are ignored. An empty table gives an empty result. A pair of cosine 0.95 shares none of its filters with a
-probability far below one in a thousand (tests measure it).
+columns are ignored. An empty table gives an empty result. Filters are probabilistic: a pair that shares none is missed.
+The README has the measured share of such pairs by size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import components, partitions, salted_join, small_batches, stored
 
-#: Filters that a vector exceeds on average, unrelated vectors of a filter on average, rows of a compared block.
-FILTERS, SHARE, BLOCK = 44, 96, 768
+#: Codes, filters of a vector in each, unrelated vectors of a filter on average, rows of a compared block.
+CODES, BEST, SHARE, BLOCK = 4, 11, 256, 768
+#: The narrowest cap (half its opening angle), in radians.
+NARROW = np.pi / 6
 _KIND = "vec_id long, dim int, vec binary, n long"
 
 
@@ -38,41 +40,57 @@ def usable(x: Column) -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def plan(n: int) -> tuple[int, int, float]:
-    """Blocks, words of a block and the cap's threshold in standard deviations, for ``n`` vectors."""
-    p = min(1 / 32, SHARE / max(n, 1))
-    need = FILTERS / p
-    blocks = 2
-    while need ** (1 / blocks) > 512:
+def cap_share(dim: int, angle: float) -> float:
+    """The share of the sphere that is within ``angle`` of a point."""
+    if dim < 2:
+        return 0.5
+    at = (np.arange(1 << 14) + 0.5) / (1 << 14)
+    inside, whole = (top * np.mean(np.sin(top * at) ** (dim - 2)) for top in (angle, np.pi))
+    return float(inside / whole)
+
+
+@lru_cache(64)
+def plan(n: int, dim: int) -> tuple[int, int]:
+    """Blocks of a code and words of a block, for ``n`` vectors."""
+    p = max(min(1 / 32, SHARE / max(n, 1)), cap_share(dim, NARROW))
+    need, blocks = BEST / p, 1
+    # blocks of few coordinates have few distinct words
+    while need ** (1 / blocks) > 512 and blocks < dim // 8:
         blocks += 1
-    return blocks, int(np.ceil(need ** (1 / blocks))), NormalDist().inv_cdf(1 - p)
+    return blocks, int(np.ceil(need ** (1 / blocks)))
 
 
-@lru_cache(4)
-def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The rotation, and each block's words as unit columns (of its coordinates)."""
-    rng = np.random.default_rng([dim, blocks, words])
+@lru_cache(16)
+def code(dim: int, blocks: int, words: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Code ``k``: the rotation, and each block's words as unit columns (of its coordinates)."""
+    rng = np.random.default_rng([dim, blocks, words, k])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    parts = [rng.standard_normal((len(c), words)) for c in np.array_split(np.arange(dim), min(blocks, dim))]
+    parts = [rng.standard_normal((len(c), words)) for c in np.array_split(np.arange(dim), blocks)]
     return turn, [w / np.linalg.norm(w, axis=0) for w in parts]
 
 
-def decode(x: np.ndarray, blocks: int, words: int, cap: float) -> np.ndarray:
-    """The sorted filters (word numbers as digits) that the unit vector ``x`` exceeds."""
-    turn, parts = code(len(x), blocks, words)
-    sums, at = [], 0
-    for w in parts:
-        sums.append((x @ turn)[at : at + len(w)] @ w)
-        at += len(w)
-    least = cap * np.sqrt(len(parts) / len(x))
-    rest = np.cumsum([s.max() for s in sums][::-1])[::-1]
-    total, ids = np.zeros(1), np.zeros(1, np.int64)
-    for k, s in enumerate(sums):
-        total = (total[:, None] + s).ravel()
-        ids = (ids[:, None] * words + np.arange(words)).ravel()
-        kept = total + (rest[k + 1] if k + 1 < len(sums) else 0.0) >= least
-        total, ids = total[kept], ids[kept]
-    return np.sort(ids)
+def decode(x: np.ndarray, blocks: int, words: int) -> np.ndarray:
+    """The sorted filters (word numbers as digits, after the code's) of each unit row of ``x``: in each code the best BEST."""
+
+    def best(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(-score, axis=1, kind="stable")[:, :BEST]
+        return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+    out = []
+    for k in range(CODES):
+        turn, parts = code(x.shape[1], blocks, words, k)
+        y, at = x @ turn, 0
+        total, ids = np.zeros((len(x), 1)), np.full((len(x), 1), k, np.int64)
+        for w in parts:
+            s, digit = best(y[:, at : at + len(w)] @ w, np.broadcast_to(np.arange(words), (len(x), words)))
+            at += len(w)
+            # of two ordered lists, only pairs of early places are among the best sums
+            i, j = np.divmod(np.arange(total.shape[1] * s.shape[1]), s.shape[1])
+            early = (i + 1) * (j + 1) <= BEST
+            i, j = i[early], j[early]
+            total, ids = best(total[:, i] + s[:, j], ids[:, i] * words + digit[:, j])
+        out.append(ids)
+    return np.sort(np.concatenate(out, 1), 1)
 
 
 def forest(near: np.ndarray) -> np.ndarray:
@@ -132,14 +150,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), b.column(2)], ["vec_id", "dim", "vec", "n"])
 
     one = stored(classes.select(F.col("class").alias("vec_id"), "x", "n").mapInArrow(packed, _KIND), "cap-classes")
-    blocks, words, cap = plan(one.count())
+    n = one.count()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for v in b.column(2):
-                x = np.frombuffer(v.as_py(), np.float64)
-                found.append(decode(x / np.linalg.norm(x), blocks, words, cap))
+            dims = b.column(1).to_numpy()
+            found = [None] * b.num_rows
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                x = np.array([np.frombuffer(b.column(2)[int(i)].as_py(), np.float64) for i in own])
+                for i, f in zip(own.tolist(), decode(x / np.linalg.norm(x, axis=1)[:, None], *plan(n, dim)), strict=True):
+                    found[i] = f
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "filters"])
 
     spread = stored(one.repartition(partitions(spark)).mapInArrow(listed, f"{_KIND}, filters array<long>"), "cap-filters")
