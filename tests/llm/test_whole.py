@@ -1,8 +1,14 @@
 """Operators do the whole job where tables are large, texts long or ids null or repeated."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from twinlens.llm import embedding_dedup
+from twinlens.plans import catalog
 
 
 def test_embedding_filters_at_size():
@@ -16,3 +22,25 @@ def test_embedding_filters_at_size():
         a, b = (embedding_dedup.decode(v, *embedding_dedup.plan(1_000_000, dim)) for v in (x, 0.951 * x + np.sqrt(1 - 0.951**2) * g))
         assert all(len(np.unique(f)) == embedding_dedup.CODES * embedding_dedup.BEST for f in a)
         assert (a[:, :, None] == b[:, None, :]).any((1, 2)).all()
+
+
+def test_token_edits_of_long_texts(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["the cat sat with them", "", None, *(" ".join(f"{rng.choice(['th', 'w', 'the'])}{rng.randrange(400)}" for _ in range(n)) for n in (90, 200, 700))]
+    pq.write_table(pa.table({"conv_id": pa.array(range(len(texts)), pa.int64()), "turn": pa.array([0] * len(texts), pa.int32()), "text": pa.array(texts, pa.string())}), f"{tmp_path}/conversations.parquet")
+
+    def distance(a: list, b: list) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    got = {r["conv_id"]: r for r in catalog.QUERIES["token_edit_distance_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and got[2]["distance"] is None
+    for i, t in enumerate(texts):
+        if t is not None:
+            a, b = t.split(), t.replace("th", "z").split()
+            want = distance(a, b)
+            assert got[i]["distance"] == want and got[i]["pct"] == (pytest.approx(want / len(a) * 100) if a else None)

@@ -248,8 +248,11 @@ def token_edit_pct(spark, d):
 
 @query()
 def token_edit_distance_all(spark, d):
+    """Distance and percentage of every row, whatever its number of distinct tokens; tests hold them against the two-row DP."""
     c = table(spark, d, "conversations").repartition(spark.sparkContext.defaultParallelism)
-    return c.select("conv_id", "turn", T.token_edit_pct(T.words(F.col("text")), T.words(F.replace("text", F.lit("th"), F.lit("z")))).alias("pct"))
+    c = c.select("conv_id", "turn", T.words(F.col("text")).alias("a"), T.words(F.replace("text", F.lit("th"), F.lit("z"))).alias("b"))
+    c = c.select("conv_id", "turn", F.size("a").alias("n"), T.token_edit_distance(F.col("a"), F.col("b")).alias("distance"))
+    return c.select("conv_id", "turn", "distance", F.when(F.col("n") > 0, F.col("distance") / F.col("n") * 100.0).alias("pct"))
 
 
 _INJECT = """CASE conv_id % 6 WHEN 0 THEN 'I cannot help with that. ' || text WHEN 1 THEN 'Unfortunately, I won''t. ' || text
