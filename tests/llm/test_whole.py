@@ -1,5 +1,6 @@
 """Operators do the whole job where tables are large, texts long or ids null or repeated."""
 
+import gzip
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from twinlens.llm import embedding_dedup
+from twinlens.llm import embedding_dedup, warc
 from twinlens.plans import catalog
 
 
@@ -44,3 +45,17 @@ def test_token_edits_of_long_texts(spark, tmp_path):
             a, b = t.split(), t.replace("th", "z").split()
             want = distance(a, b)
             assert got[i]["distance"] == want and got[i]["pct"] == (pytest.approx(want / len(a) * 100) if a else None)
+
+
+def test_warc_long_url_and_damage(spark, tmp_path):
+    urls = ["http://h/0", "data:," + "x" * 200_000, "http://h/2", "http://h/" + "WARC/1.1\r\n" * 20_000, "http://h/4"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.write(warc.records(pages).coalesce(1), path)
+    got = {r["uri"]: bytes(r["body"]) for r in warc.read(spark, path).select(warc.field("WARC-Target-URI").alias("uri"), "body").collect()}
+    assert got == {u.replace("\r", "%0D").replace("\n", "%0A"): f"<p>{i}</p>".encode() for i, u in enumerate(urls)}
+    (file,) = (tmp_path / "w").glob("part-*")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.gz").write_bytes(gzip.compress(gzip.decompress(file.read_bytes())[:-10]))
+    with pytest.raises(Exception, match="do not end at its size"):
+        warc.read(spark, f"file://{tmp_path}/cut").collect()

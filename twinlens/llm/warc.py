@@ -6,7 +6,8 @@ smallest id is the ``response``, the others are ``revisit`` records without a pa
 
 Reading by boundary-chain verification: each task looks for the version line at every offset of its stretch of a file and
 emits a candidate with the offset that its Content-Length makes the successor. Pointer jumping from the file starts
-keeps the candidates that are reachable; a version line inside a payload is never reached. The links of a file, two
+keeps the candidates that are reachable; a version line inside a payload is never reached. A head may be of any length
+(a url is written whole), and a file whose chain does not end at its size (damaged, or cut short) is an error. The links of a file, two
 integers a candidate, meet in one task; the reader's limit on a file's size bounds them. Jumps double, so n candidates
 take about log2 n rounds.
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import bare, salted_join, scratch_path, stored
 
 _MAGIC = b"WARC/1.1\r\n"
+_VERSION, _LENGTH = re.compile(re.escape(_MAGIC)), re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
 #: Records of a file (so that a file stays far below the 2 GB that the reader takes), and bytes of a reading task's stretch.
 FILE_RECORDS, STRETCH = 2048, 4 << 20
 #: The alphabet of RFC 4648 base32.
@@ -77,29 +79,35 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, memoryview, list[tuple[int, int, bytes, int]]]]:
-    """Of each stretch of each file: (start, next, head, body's offset) at every place of the version line."""
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list[tuple[int, int, int]]]]:
+    """Of each stretch of each file: (start, next, end of the head) at every place of the version line."""
     for b in batches:
         for i in range(b.num_rows):
             data = b.column(1)[i].as_py()
-            data = memoryview(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+            stop, size = -1, None
             for begin in range(0, len(data), STRETCH):
                 found = []
-                for m in re.finditer(re.escape(_MAGIC), data[begin : begin + STRETCH + len(_MAGIC) - 1]):
-                    at = begin + m.start()
-                    head = bytes(data[at : at + 65536])
-                    stop = head.find(b"\r\n\r\n")
-                    size = re.search(rb"\r\nContent-Length: *(\d+)", head[:stop], re.I) if stop >= 0 else None
+                for m in _VERSION.finditer(data, begin, begin + STRETCH + len(_MAGIC) - 1):
+                    at = m.start()
+                    # candidates within one head share its end, and what is found once is not looked for again
+                    if stop < at:
+                        stop = data.find(b"\r\n\r\n", at)
+                        if stop < 0:
+                            break
+                        size = _LENGTH.search(data, at, stop)
+                    elif size and size.start() < at:
+                        size = _LENGTH.search(data, at, stop)
                     if size:
-                        found.append((at, at + stop + 4 + int(size[1]) + 4, head[:stop], at + stop + 4))
+                        found.append((at, stop + 4 + int(size[1]) + 4, stop))
                 yield b.column(0)[i].as_py(), data, found
 
 
 def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates' starts and successors, packed, a row for each stretch."""
+    """Candidates' starts and successors, packed, and the file's size, a row for each stretch."""
     for name, data, found in _found(batches):
         at = np.array([(x[0], x[1] if x[1] <= len(data) else -1) for x in found], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at[:, 0].tobytes()], pa.binary()), pa.array([at[:, 1].tobytes()], pa.binary())], ["file", "starts", "nexts"])
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at[:, 0].tobytes()], pa.binary()), pa.array([at[:, 1].tobytes()], pa.binary()), pa.array([len(data)], pa.int64())], ["file", "starts", "nexts", "size"])
 
 
 def reachable(table: pa.Table) -> pa.Table:
@@ -114,9 +122,11 @@ def reachable(table: pa.Table) -> pa.Table:
         new = marked.copy()
         new[to[marked]] = True
         new[-1] = False
-        # a record cut short is no record
         if (new == marked).all() and (to == len(start)).all():
-            kept = start[marked[:-1] & (after >= 0)]
+            on = marked[:-1]
+            if not on.any() or after[on][-1] != table.column("size")[0].as_py():
+                raise ValueError(f"the records of {table.column('file')[0].as_py()} do not end at its size: damaged or cut short")
+            kept = start[on]
             return pa.table({"file": pa.array([table.column("file")[0].as_py()] * len(kept), pa.string()), "start": pa.array(kept, pa.int64())})
         marked, to = new, to[to]
 
@@ -128,12 +138,12 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
         for name, data, found in _found(batches):
             for k in range(0, len(found), 256):
                 own = found[k : k + 256]
-                body = [bytes(data[x[3] : max(x[3], x[1] - 4)]) for x in own]
+                body = [data[x[2] + 4 : max(x[2] + 4, x[1] - 4)] for x in own]
                 more = [pa.array([len(x) for x in body], pa.int64()), pa.array([hashlib.sha1(x).digest() for x in body], pa.binary())] if digest else [pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([x[0] for x in own], pa.int64()), pa.array([x[2].decode("utf-8", "replace") for x in own]), *more], names)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([x[0] for x in own], pa.int64()), pa.array([data[x[0] : x[2]].decode("utf-8", "replace") for x in own]), *more], names)
 
     names = ["file", "start", "head", *(("size", "sha1") if digest else ("body",))]
-    kept = _files(spark, path).mapInArrow(links, "file string, starts binary, nexts binary").groupBy("file").applyInArrow(reachable, "file string, start long")
+    kept = _files(spark, path).mapInArrow(links, "file string, starts binary, nexts binary, size long").groupBy("file").applyInArrow(reachable, "file string, start long")
     every = _files(spark, path).mapInArrow(records_, "file string, start long, head string, " + ("size long, sha1 binary" if digest else "body binary"))
     return every.join(kept, ["file", "start"], "left_semi").select(*names)
 
