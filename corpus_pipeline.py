@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinlens.llm import byte_bpe, jaccard_join, language_id, mixing, suffix_dedup
-from twinlens.llm.common import stored
+from twinlens.llm.common import row_key, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +15,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that with the smallest id stays."""
-    found = jaccard_join.join(docs, shingle=5, percent=80)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that with the smallest id stays; of null ids alone, one stays."""
+    found = jaccard_join.keyed(docs, shingle=5, percent=80)
+    first = "doc_id = component_id or (doc_id is null and component_id is null and (n_shingles = 0 or key = component))"
+    kept = stored(found.where(first).select("doc_id", "key", "n_shingles").distinct(), "near-kept")
+    out = docs.where("doc_id is not null").join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    blank = docs.where("doc_id is null").withColumn("_row", row_key()).join(kept.where("doc_id is null").select(F.col("key").alias("_row"), "n_shingles"), "_row")
+    once = blank.where("n_shingles > 0").dropDuplicates(["_row"])  # copies of one text; texts without words are no copies
+    return out.unionByName(once.select(*docs.columns)).unionByName(blank.where("n_shingles = 0").select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

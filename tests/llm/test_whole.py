@@ -8,7 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from twinlens.llm import embedding_dedup, warc
+import corpus_pipeline
+from twinlens.llm import embedding_dedup, jaccard_join, mixing, warc
 from twinlens.plans import catalog
 
 
@@ -59,3 +60,21 @@ def test_warc_long_url_and_damage(spark, tmp_path):
     (tmp_path / "cut" / "a.gz").write_bytes(gzip.compress(gzip.decompress(file.read_bytes())[:-10]))
     with pytest.raises(Exception, match="do not end at its size"):
         warc.read(spark, f"file://{tmp_path}/cut").collect()
+
+
+def test_null_ids(spark):
+    """Null ids, alone and as exact and near copies, through the Jaccard join, its pipeline stage and the mix."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: t.rsplit(" ", 1)[0] + " zz"
+    rows = [(5, a), (None, a), (7, near(a)), (None, near(a)), (None, b), (None, b), (None, near(b)), (None, c), (3, d), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.join(docs, 3, 90).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (7, 5), (None, 5), *[(None, None)] * 6, (3, 3)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    ids, texts = [i for i, _ in kept], [t for _, t in kept]
+    assert len(kept) == 6 and {i for i in ids if i is not None} == {3, 5} and texts.count("") == 2 and c in texts and (b in texts) + (near(b) in texts) == 1
+    few = docs.where("text <> ''").dropDuplicates(["text"])
+    assert len(mixing.copies(few).collect()) == few.count()
+    assert {r["text"] for r in mixing.mix(few).collect()} == {r["text"] for r in few.collect()}

@@ -127,6 +127,11 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     return out.union(e.select(F.col("b"), F.col("b")).distinct())
 
 
+def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
+    """The id, and for a null one a hash of the text: null ids are documents each, and equal texts among them copies."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("row"), text))
+
+
 def bare(text: Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(text, F.lit(""))

@@ -11,7 +11,8 @@
    Larger clusters are searched in pairs of blocks. Tasks return a spanning forest of their links.
 
 Null or empty text, or text without words, has the empty set and links with nothing; text with fewer words than a
-shingle has one shingle, the whole sequence. Whole texts are read. Repeated ids count as one document for links. Extra
+shingle has one shingle, the whole sequence. Whole texts are read. Repeated ids count as one document for links. Null
+ids are documents each, larger than all others: a component of null ids alone has a null ``component_id``. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, discard, lean, lean_group, partitions, salted_join, small_batches, stored
+from .common import components, discard, lean, lean_group, partitions, row_key, salted_join, small_batches, stored
 from .shingles import Hasher, mix, shingle_set
 
 #: Classes of a searched block; bits of the Bloom filter; signatures that a task holds before it sends them.
@@ -92,17 +93,17 @@ def name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little") >> 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hasher = Hasher()
     for b in batches:
         for k in range(0, b.num_rows, 512):
             c = b.slice(k, 512)
             texts = [(t.as_py() or "").encode("utf-8", "replace") for t in c.column(1)]
-            yield c.column(0).to_pylist(), [shingle_set(w, shingle) for w in hasher.texts(texts)]
+            yield c, [shingle_set(w, shingle) for w in hasher.texts(texts)]
 
 
 def class_and_signatures(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: with bucket -1 a batch of packed (doc_id, n_shingles, class), else a bucket's packed signatures and classes."""
+    """Rows of two kinds: with bucket -1 a batch of packed (key, n_shingles and whether the id is null, class), else a bucket's packed signatures and classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(where: list[int], a: list[bytes], b: list[bytes], c: list[bytes], d: list[bytes] | None = None) -> pa.RecordBatch:
@@ -126,20 +127,20 @@ def class_and_signatures(docs: DataFrame, shingle: int, percent: int, buckets: i
         sigs: list[np.ndarray] = []
         of: list[int] = []
         held, seen = 0, set()
-        for ids, sets in _sets(batches, shingle):
+        for c, sets in _sets(batches, shingle):
             names = [name(s) if len(s) else -1 for s in sets]
-            yield rows([-1], [np.array([-1 if i is None else i for i in ids], np.int64).tobytes()], [np.array([len(s) for s in sets], np.int64).tobytes()], [np.array(names, np.int64).tobytes()], [b"".join(sketch(s) for s in sets if len(s))])
-            for s, c in zip(sets, names, strict=True):
-                if c >= 0 and c not in seen:
-                    seen.add(c)
+            yield rows([-1], [c.column(0).to_numpy().astype(np.int64).tobytes()], [np.array([len(s) << 1 | blank for s, blank in zip(sets, c.column(2).to_pylist(), strict=True)], np.int64).tobytes()], [np.array(names, np.int64).tobytes()], [b"".join(sketch(s) for s in sets if len(s))])
+            for s, k in zip(sets, names, strict=True):
+                if k >= 0 and k not in seen:
+                    seen.add(k)
                     sigs.append(signatures(s, percent))
-                    of.append(c)
+                    of.append(k)
                     held += len(sigs[-1])
             if held > HELD:
                 yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "bucket int, a binary, b binary, c binary, d binary")
+    return docs.select(row_key().alias("key"), "text", F.col("doc_id").isNull().alias("blank")).mapInArrow(lean(run), "bucket int, a binary, b binary, c binary, d binary")
 
 
 def _runs(table: pa.Table) -> pa.Table:
@@ -206,10 +207,11 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in zip(*(b.column(k) for k in (1, 2, 3)), b.column(4), strict=True):
             i, n, c = (np.frombuffer(x.as_py(), np.int64) for x in row[:3])
+            blank, n = (n & 1).astype(bool), n >> 1
             ends = np.cumsum([sketch_bits(k) // 8 if k else 0 for k in n.tolist()]).tolist()
             data = row[3].as_py()
             own = [data[e - (sketch_bits(k) // 8 if k else 0) : e] for e, k in zip(ends, n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n), pa.array(c, mask=c < 0), pa.array(own, pa.binary())], ["doc_id", "n_shingles", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(blank), pa.array(n), pa.array(c, mask=c < 0), pa.array(own, pa.binary())], ["key", "blank", "n_shingles", "class", "sketch"])
 
 
 def bloom(ids: DataFrame, column: str) -> np.ndarray:
@@ -264,10 +266,11 @@ def search(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def clusters_to_links(docs: DataFrame, member: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within the clusters ``member(rep, cluster)``, rep being a class's smallest doc id."""
+    """(a, b): a spanning forest of the links within the clusters ``member(rep, cluster)``, rep being a class's smallest doc id, or key if all are null."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bloom(member, "rep"))
-    maybe = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(BLOOM_BITS)).alias("p"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(BLOOM_BITS)).alias("q"))
+    maybe = docs.select(row_key().alias("key"), "text")
+    maybe = maybe.select("key", "text", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(BLOOM_BITS)).alias("p"), F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(BLOOM_BITS)).alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some() -> Iterator[pa.RecordBatch]:
@@ -279,8 +282,8 @@ def clusters_to_links(docs: DataFrame, member: DataFrame, shingle: int, percent:
                     hit &= (own[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
                 yield b.filter(pa.array(hit))
 
-        for ids, sets in _sets(some(), shingle):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+        for c, sets in _sets(some(), shingle):
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
 
     sets = maybe.mapInArrow(lean(run), "rep long, set binary")
     sizes = member.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
@@ -300,23 +303,33 @@ def clusters_to_links(docs: DataFrame, member: DataFrame, shingle: int, percent:
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: ``component_id`` is the smallest id that links reach."""
+    return keyed(docs, shingle, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``join`` with each row's ``key`` (see ``row_key``) and the ``component``, one of the component's keys."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
     small_batches(spark)
     packed = stored(class_and_signatures(docs, shingle, percent, buckets), "jaccard-signatures")
-    every = stored(packed.where("bucket < 0").mapInArrow(lean(_unpack), "doc_id long, n_shingles long, class long, sketch binary"), "jaccard-classes")
+    every = stored(packed.where("bucket < 0").mapInArrow(lean(_unpack), "key long, blank boolean, n_shingles long, class long, sketch binary"), "jaccard-classes")
     runs = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(_runs), "run long, class long").distinct()
     known = every.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     runs = salted_join(runs, known, "class", 4, "inner", "run").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
     met = runs.select("bucket", "run", "class", "n_shingles", "sketch").groupBy("bucket").applyInArrow(lean_group(_links_of_runs(percent)), "a long, b long").distinct()
     cluster = components(met, "jaccard-clusters")
     discard(packed)
-    reps = every.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = every.where("class is not null").groupBy("class").agg(F.min(F.when(~F.col("blank"), F.col("key"))).alias("least"), F.min("key").alias("rep"))
+    reps = reps.select("class", "least", F.coalesce("least", "rep").alias("rep"))
     member = stored(reps.join(cluster, reps["class"] == cluster["id"]).select("class", "rep", F.col("component").alias("cluster")), "jaccard-members")
     found = components(clusters_to_links(docs, member.select("rep", "cluster"), shingle, percent), "jaccard-components")
-    of = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = salted_join(every.drop("sketch"), of, "class", 16, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = reps.join(found, reps["rep"] == found["id"]).select("class", "rep", "least", "component")
+    # a null id's key may be the smallest of its component, whose smallest id is another then
+    lows = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = salted_join(linked.select("class", "rep", "component"), lows, "component", 16, "inner", "rep").drop("rep")
+    of = reps.join(linked, "class", "left").select("class", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = salted_join(every.drop("sketch"), of, "class", 16, "left", "key").withColumn("doc_id", F.when(~F.col("blank"), F.col("key")))
+    return out.select("key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "key").alias("component"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

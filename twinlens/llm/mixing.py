@@ -7,14 +7,14 @@ follow the target closely. The running position comes from counts of bounded cel
 with a third of all rows is never in one task.
 
 Null text has size 0; a null source is a source of its own, the last one. Repeated ids share their decision's inputs
-and are ordered arbitrarily but equally; extra columns pass through ``mix``; an empty table gives an empty result.
+and are ordered arbitrarily but equally; null ids come last in an order, and ``mix`` takes them as documents each; extra columns pass through ``mix``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, bare, stored
+from .common import WORD, bare, row_key, stored
 
 #: No document is taken more often than this, so no target is above this many times its source's size.
 MOST = 3
@@ -45,7 +45,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     sized = sized.withColumns({
         "_key": F.expr(_KEY),
         "_class": F.floor(F.sqrt("size")).cast("int"),
-        "_salt": F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 2), 16, 10).cast("int"),
+        "_salt": F.coalesce(F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(256)),
     })
     sized = stored(sized, "mixing-sizes")  # texts are read once
     cell = ["_key", "_class", "_salt"]
@@ -56,7 +56,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = classes.select("_key", "_class", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("_before"))
     before = cells.withColumn("_inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(classes, ["_key", "_class"])
     before = before.select(*cell, (F.col("_before") + F.col("_inner")).alias("_before"))
-    rank = F.row_number().over(W.partitionBy(*cell).orderBy("size", id_col))
+    rank = F.row_number().over(W.partitionBy(*cell).orderBy("size", F.asc_nulls_last(id_col)))
     ranked = sized.withColumn("_rank", rank).join(before, cell).withColumn("_rank", F.col("_before") + F.col("_rank"))
     goal = targets(sized).withColumn("_key", F.expr(_KEY)).drop("source")
     # a row for each source; beyond the session's broadcast threshold Spark joins by shuffling and splits hot keys
@@ -69,8 +69,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: every column of ``docs``, each row as often as it is taken."""
-    often = copies(docs).select("doc_id", F.col("copies").alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    out = docs.join(often.where("_copies > 0"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    docs_ = docs.withColumn("_row", row_key())
+    often = copies(docs_, "_row").groupBy("_row").agg(F.max("copies").alias("_copies"))
+    out = docs_.join(often.where("_copies > 0"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(*docs.columns)
 
 
