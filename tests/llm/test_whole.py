@@ -1,6 +1,7 @@
 """Operators do the whole job where tables are large, texts long or ids null or repeated."""
 
 import gzip
+import hashlib
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from twinlens.llm import embedding_dedup, jaccard_join, mixing, warc
+from twinlens.llm import embedding_dedup, jaccard_join, mixing, suffix_dedup, warc
 from twinlens.plans import catalog
 
 
@@ -78,3 +79,16 @@ def test_null_ids(spark):
     few = docs.where("text <> ''").dropDuplicates(["text"])
     assert len(mixing.copies(few).collect()) == few.count()
     assert {r["text"] for r in mixing.mix(few).collect()} == {r["text"] for r in few.collect()}
+
+
+def test_repeated_and_null_ids_are_cut_apart(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    p, q = word(120), word(120)
+    rows = [(1, p + q), (2, word(40) + p + "x"), (2, word(300)), (None, word(70) + q), (None, word(400)), (None, q + word(50))]
+    want = [p + q, rows[1][1][:40] + "x", rows[2][1], rows[3][1][:70], rows[4][1], rows[5][1][120:]]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}), f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["text"] for r in suffix_dedup.cut(docs).collect()) == sorted(want)
+    got = sorted(r["kept_sha256"] for r in suffix_dedup.op10_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted(hashlib.sha256(t.encode()).hexdigest() for t in want)

@@ -15,7 +15,8 @@ least hash in it, which depends on its bytes alone. So
 4. the covered ranges meet per document and are cut out.
 
 Texts are UTF-8 bytes, null is empty; matches never cross documents; whole texts are read. Of documents with equal
-ids none is smaller, so they do not cover each other. A null id is larger than all others. Extra columns are ignored
+ids none is smaller, so they do not cover each other, and each text of an id has its own ranges: a text is told apart
+by a tag, a hash of it (64 bits of a null id's, TAG_BITS of another's). A null id is larger than all others. Extra columns are ignored
 by ``spans`` and kept by ``cut``. An empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import lean, lean_group, partitions, release, small_batches
 from .shingles import mix
@@ -37,6 +38,9 @@ GRAM, PIECE, HELD = 24, 1 << 18, 1 << 19
 SHARED_BITS, HOT_BITS, HOT = 1 << 26, 1 << 22, 1024
 _U = np.uint64
 _NULL_ID = np.iinfo(np.int64).max
+#: A place is the offset in a text (31 bits), its tag, and whether its id is null, when the document's number is its tag.
+TAG_BITS = 23
+_TAG, _BLANK = 31, 31 + TAG_BITS
 _KIND = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["kind", "bucket", "a", "b", "c", "d", "e"]
 
@@ -149,12 +153,26 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(open_(x.as_py()) for x in table.column(name)), kind)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def tag() -> Column:
+    """What tells apart the texts of one id."""
+    h = F.xxhash64("text")
+    return F.when(F.col("doc_id").isNull(), h).otherwise(h.bitwiseAND(F.lit((1 << TAG_BITS) - 1)))
+
+
+def ordered(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The documents' ids, for comparison: null ones are equal, and larger than others."""
+    return np.where(place >> _BLANK & 1, _NULL_ID, doc)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Documents' numbers, what goes on top of the offsets to make places, and texts."""
     for b in batches:
         for k in range(0, b.num_rows, 512):
             c = b.slice(k, 512)
-            ids = np.array([_NULL_ID if i is None else i for i in c.column(0).to_pylist()], np.int64)
-            yield ids, [(t.as_py() or "").encode("utf-8", "replace") for t in c.column(1)]
+            tags = c.column(2).to_pylist()
+            ids = np.array([t if i is None else i for i, t in zip(c.column(0).to_pylist(), tags, strict=True)], np.int64)
+            top = np.array([1 << _BLANK if i is None else t << _TAG for i, t in zip(c.column(0).to_pylist(), tags, strict=True)], np.int64)
+            yield ids, top, [(t.as_py() or "").encode("utf-8", "replace") for t in c.column(1)]
 
 
 def shared_anchors(docs: DataFrame, length: int, buckets: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +186,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int, hot: int = HOT) -
             low = h.view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits beside the bucket
             yield from _rows(0, buckets, bucket_of(h, buckets), np.ascontiguousarray(low), np.minimum(times, 255).astype(np.uint8))
 
-        for _, texts in _texts(batches):
+        for _, _, texts in _texts(batches):
             for group in segments(texts, 2 * length):
                 held.append(Anchors(roller, group, length).hash)
                 n += len(held[-1])
@@ -196,7 +214,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int, hot: int = HOT) -
             out.append(np.packbits(marks, bitorder="little").tobytes())
         return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "shared": pa.array([out[0]], pa.binary()), "hot": pa.array([out[1]], pa.binary())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(lean(send), _KIND).select("bucket", "a", "b")
+    sent = docs.select("doc_id", "text", tag()).mapInArrow(lean(send), _KIND).select("bucket", "a", "b")
     rows = sent.groupBy("bucket").applyInArrow(lean_group(meet), "bucket int, shared binary, hot binary").toArrow().to_pylist()
     out = []
     for name, bits in (("shared", SHARED_BITS), ("hot", HOT_BITS)):
@@ -284,7 +302,7 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray,
 
 
 def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
-    """(doc_id, starts, ends): the ranges to remove, packed 64-bit integers in order, for every document that has some."""
+    """(doc_id, tag, starts, ends): the ranges to remove, packed 64-bit integers in order, for every document that has some."""
     spark = docs.sparkSession
     buckets = 6 * partitions(spark)
     small_batches(spark)
@@ -310,23 +328,23 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 h, c, doc, start, size, context = (np.concatenate(x) for x in zip(*held, strict=True))
-                first, late = _firsts((c, h), doc)  # by anchor, so that like contexts are compressed together
+                first, late = _firsts((c, h), ordered(doc, start))  # by anchor, so that like contexts are compressed together
                 yield from covers(doc[late], start[late], start[late] + size[late])
                 yield from _rows(0, buckets, bucket_of(h[first], buckets), h[first], c[first], doc[first], start[first] << 8 | size[first], context[first])
             if windows:
                 h, doc, start = (np.concatenate(x) for x in zip(*windows, strict=True))
                 _, one = np.unique(np.stack([doc, start], 1), axis=0, return_index=True)
                 h, doc, start = h[one], doc[one], start[one]
-                first, late = _firsts((h,), doc)
+                first, late = _firsts((h,), ordered(doc, start))
                 yield from covers(doc[late], start[late], start[late] + length)
                 yield from _rows(1, buckets, bucket_of(h[first], buckets), h[first], doc[first], start[first])
             held.clear(), windows.clear()
 
-        for ids, texts in _texts(batches):
+        for ids, top, texts in _texts(batches):
             for group in segments(texts, 2 * length):
                 x = Anchors(roller, group, length)
                 on = has(shared, x.hash, buckets, SHARED_BITS)
-                at, h, lo, hi, shift, doc = x.at[on], x.hash[on], x.begin[on], x.end[on], x.shift[on], ids[x.of[on]]
+                at, h, lo, hi, shift, doc = x.at[on], x.hash[on], x.begin[on], x.end[on], x.shift[on] + top[x.of[on]], ids[x.of[on]]
                 start, end = np.maximum(lo, at - width + 1), np.minimum(hi, at + length)
                 often = has(hot, h, buckets, HOT_BITS)
                 cold = ~often
@@ -351,12 +369,12 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
             doc, start, end = _column(table, "b", np.int64), _column(table, "c", np.int64), _column(table, "a", np.int64)
         elif kind == 1:
             h, doc, start = _column(table, "a", np.uint64), _column(table, "b", np.int64), _column(table, "c", np.int64)
-            _, late = _firsts((h,), doc)
+            _, late = _firsts((h,), ordered(doc, start))
             doc, start, end = doc[late], start[late], start[late] + length
         else:
             h, c, doc, figures = _column(table, "a", np.uint64), _column(table, "b", np.uint32), _column(table, "c", np.int64), _column(table, "d", np.int64)
             start, size, context = figures >> 8, figures & 255, _column(table, "e", np.uint8).reshape(-1, full)
-            first, late = _firsts((h, c), doc)
+            first, late = _firsts((h, c), ordered(doc, start))
             found = [(doc[late], start[late], start[late] + size[late])]
             # anchors with one context are done; of the others, contexts with a string that occurs twice are sorted
             order = first[np.lexsort((c[first], h[first]))]
@@ -370,13 +388,14 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
 
     def per_document(table: pa.Table) -> pa.Table:
         doc, start, end = joined(_column(table, "b", np.int64), _column(table, "c", np.int64), _column(table, "a", np.int64))
-        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        parts = [np.split(x, head[1:]) for x in (start, end)]
-        null = doc[head] == _NULL_ID
-        return pa.table({"doc_id": pa.array(doc[head], pa.int64(), mask=null), "starts": pa.array([x.tobytes() for x in parts[0]], pa.binary()), "ends": pa.array([x.tobytes() for x in parts[1]], pa.binary())})
+        top = start >> _TAG
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (top[1:] != top[:-1])]))
+        parts = [np.split(x - (top << _TAG), head[1:]) for x in (start, end)]
+        null = (top[head] >> TAG_BITS & 1).astype(bool)
+        return pa.table({"doc_id": pa.array(doc[head], pa.int64(), mask=null), "tag": pa.array(np.where(null, doc[head], top[head]), pa.int64()), "starts": pa.array([x.tobytes() for x in parts[0]], pa.binary()), "ends": pa.array([x.tobytes() for x in parts[1]], pa.binary())})
 
-    ranges = docs.select("doc_id", "text").mapInArrow(lean(send), _KIND).groupBy("kind", "bucket").applyInArrow(lean_group(meet), _KIND)
-    return ranges.select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(lean_group(per_document), "doc_id long, starts binary, ends binary")
+    ranges = docs.select("doc_id", "text", tag()).mapInArrow(lean(send), _KIND).groupBy("kind", "bucket").applyInArrow(lean_group(meet), _KIND)
+    return ranges.select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(lean_group(per_document), "doc_id long, tag long, starts binary, ends binary")
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcde")])
@@ -402,7 +421,8 @@ def _within(context: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.nd
     row, lo = np.nonzero(np.diff(again, axis=1) == 1)
     hi = np.nonzero(np.diff(again, axis=1) == -1)[1] - 1 + length
     whole = mix((sums[row, hi] - sums[row, lo]) * roller.inverse[lo] + (hi - lo).astype(np.uint64))
-    first, late = _firsts((whole,), doc[row])
+    ids = ordered(doc, start)
+    first, late = _firsts((whole,), ids[row])
     found = [(doc[row[late]], start[row[late]] + lo[late], start[row[late]] + hi[late])]
     # of one document's equal stretches one is enough to be compared, and all share its answer
     row, lo, hi, whole = row[first], lo[first], hi[first], whole[first]
@@ -415,7 +435,7 @@ def _within(context: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.nd
         x = one[open_]
         place = lo[x][:, None] + np.arange(context.shape[1])
         part = np.where(place < hi[x][:, None], context[row[x][:, None], np.minimum(place, context.shape[1] - 1)], 0).astype(np.uint8)
-        r, off = covered_by_suffixes(part, hi[x] - lo[x], doc[row[x]], length)
+        r, off = covered_by_suffixes(part, hi[x] - lo[x], ids[row[x]], length)
         # each answer holds for all places of that document's stretch
         by = np.argsort(of, kind="stable")
         cut_ = np.searchsorted(of[by], np.arange(len(one) + 1))
@@ -432,10 +452,12 @@ def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     doc, start, end = doc[order], start[order], end[order]
     if len(doc):
         # a running greatest end within a document: documents are set apart by adding their number times a large step
-        number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
-        step = int(end.max()) + 1
-        reach = np.maximum.accumulate(end + number * step)
-        new = np.concatenate([[True], start[1:] + number[1:] * step > reach[:-1]]) | np.concatenate([[True], doc[1:] != doc[:-1]])
+        top = start >> _TAG
+        other = np.concatenate([[False], (doc[1:] != doc[:-1]) | (top[1:] != top[:-1])])
+        number, low, high = np.cumsum(other), start - (top << _TAG), end - (top << _TAG)
+        step = int(high.max()) + 1
+        reach = np.maximum.accumulate(high + number * step)
+        new = np.concatenate([[True], low[1:] + number[1:] * step > reach[:-1]]) | other
         head = np.flatnonzero(new)
         doc, start, end = doc[head], start[head], np.maximum.reduceat(end, head)
     return doc, start, end
@@ -450,10 +472,17 @@ def _keep(text: bytes, starts: bytes | None, ends: bytes | None) -> tuple[bytes,
     return b"".join([*out, text[at:]]), cut
 
 
+def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``found``, where a text has ranges."""
+    found = found.withColumnsRenamed({"doc_id": "_doc", "tag": "_found"})
+    own = docs.withColumn("_tag", tag())
+    return own.join(found, (F.col("_tag") == F.col("_found")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc", "_found", "_tag")
+
+
 def cut(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``. What the cuts leave of split characters goes as well."""
     found = spans(docs, length).withColumnsRenamed({"starts": "_starts", "ends": "_ends"})
-    both = docs.join(found.withColumnRenamed("doc_id", "_doc"), docs["doc_id"].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    both = with_spans(docs, found)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +498,7 @@ def cut(docs: DataFrame, length: int = 50) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = docs.join(spans(docs), "doc_id", "left")
+    both = with_spans(docs, spans(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
