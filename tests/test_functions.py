@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from twinlens.errors import ConfigError
 from twinlens.functions import arrays as A, text as T
+from twinlens.models.lexical import LexicalTokenizer
 from twinlens.operators import paraphrase as P, special
 
 
@@ -32,7 +33,7 @@ def test_token_edits(spark, a, b, d):
 
 
 def test_refusals(spark):
-    yes = ["I can’t help with that", "As an AI, I", "Sorry, but no. I'm sorry, but I cannot", "Unfortunately, I won't", "sorry I can't", "I refuse to help"]
+    yes = ["I can’t help with that", "As an AI, I", "Sorry, but no. I'm sorry, but I cannot", "Unfortunately, I won't", "sorry I can't", "I refuse to help", "well, i cant to help you", "I wont to assist"]
     no = ["As an aid to you", "As an AI. Fine", "He cannot help", "", "I can't wait"]
     rows = spark.createDataFrame([(t,) for t in yes + no], "t string")
     for ascii_only in (True, False):
@@ -76,3 +77,18 @@ def test_paraphrase_loop():
     assert got == P.Paraphrase(words, 0.0, 3, True)
     with pytest.raises(ValueError):
         P.calibrated(" ", 5, lambda p, s: "", str.split, P.refuses)
+
+
+def test_long_token_edits(spark):
+    """Pairs with more distinct tokens than the JVM's way takes, beside short and null ones."""
+    long_ = [f"t{i}" for i in range(T.FEW + 200)]
+    other = ["x", *long_[:300], *long_[310:], "y"]
+    rows = spark.createDataFrame([(long_, other), (["a"], ["b"]), (None, ["b"]), (long_, [])], "a array<string>, b array<string>")
+    got = [r[0] for r in rows.select(T.token_edit_distance(F.col("a"), F.col("b"))).collect()]
+    assert got == [12, 1, None, len(long_)]
+    assert T.distance(long_, other) == P.edit_distance(long_, other) == 12
+
+
+def test_one_rule_for_white_space(spark):
+    t = " a b　c d\x1ce\x85f\n"
+    assert one(spark, T.words(F.lit(t))) == t.split() == LexicalTokenizer().encode(t)

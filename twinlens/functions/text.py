@@ -7,30 +7,56 @@ import json
 import string
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..errors import ConfigError
 
 
+#: White space as Python's ``str.split`` knows it, so that a text has the same tokens in the JVM and in Python.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Distinct tokens of a pair up to which the JVM compares it.
+FEW = 512
+
+
 def words(text: Column) -> Column:
     """Whitespace tokens; none of a blank text."""
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
+def distance(a: list, b: list) -> int:
+    """Levenshtein distance of two token sequences, a row of the table at a time."""
+    names = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([names[t] for t in s], np.int64) for s in (a, b))
+    at = np.arange(len(y) + 1)
+    row = at.copy()
+    for i, t in enumerate(x.tolist(), 1):
+        # without insertions first; these then are a running least of what is left of a place
+        best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (y != t)))
+        row = np.minimum.accumulate(best - at) + at
+    return int(row[-1])
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of two token arrays (unit costs).
 
-    Each pair's distinct tokens become single characters, and the JVM's string distance does the rest. Characters
-    below the surrogate block serve 35,000 distinct tokens; a pair with more is an error of the conversion.
+    Of a pair with up to ``FEW`` distinct tokens these become single characters, and the JVM's string distance does the
+    rest; a pair with more is compared in Arrow batches, in memory linear in its length. Null if either array is null.
     """
     both = F.array_distinct(F.concat(a, b))
+    few = F.size(both) <= FEW
 
     def letters(x: Column) -> Column:
         codes = F.transform(x, lambda t: F.lpad(F.hex(F.array_position(both, t) + 0x4DFF), 4, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    return F.levenshtein(letters(a), letters(b))
+    @F.pandas_udf("int")
+    def long_(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else distance(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    rest = [F.when(~few, c).cast("array<string>") for c in (a, b)]
+    return F.when(few, F.levenshtein(letters(a), letters(b))).otherwise(long_(*rest))
 
 
 def token_edit_pct(original: Column, changed: Column) -> Column:
@@ -38,25 +64,52 @@ def token_edit_pct(original: Column, changed: Column) -> Column:
     return F.when(F.size(original) > 0, token_edit_distance(original, changed) / F.size(original) * 100.0)
 
 
-# The phrases and patterns by which a text counts as a refusal.
-REFUSAL_TAILS = [
-    "help with", "help you", "help engineer", "help generate", "assist", "do what", "do that", "fulfill this",
-    "fulfill the", "fulfill your", "comply with the", "comply with request", "produce a paraphrase",
-    "meet the requirement", "generate a paraphrase",
-]
+# The phrases at a text's beginning, and the patterns, by which it counts as a refusal.
+REFUSAL_PHRASES = [
+    "i can't help with",
+    "i cannot help with",
+    "i can't help you",
+    "i cannot help you",
+    "i can't help engineer",
+    "i cannot help engineer",
+    "i can't help generate",
+    "i cannot help generate",
+    "i can't assist",
+    "i cannot assist",
+    "i can't do what",
+    "i cannot do what",
+    "i can't do that",
+    "i cannot do that",
+    "i cannot fulfill this",
+    "i can't fulfill this",
+    "i cannot fulfill the",
+    "i can't fulfill the",
+    "i cannot fulfill your",
+    "i can't fulfill your",
+    "i can't comply with the",
+    "i cannot comply with the",
+    "i can't comply with request",
+    "i cannot comply with request",
+    "i can't produce a paraphrase",
+    "i cannot produce a paraphrase",
+    "i can't meet the requirement",
+    "i cannot meet the requirement",
+    "i can't generate a paraphrase",
+    "i cannot generate a paraphrase",
+]
 REFUSAL_PATTERNS = [
     r"^as an ai(?=[,\s]|$)",
     r"^as a language model(?=[,\s]|$)",
     r"\bi'?m sorry,? but i (?:cannot|can not|can't|won't)\b",
     r"\bunfortunately,? i (?:cannot|can'?t|won'?t)\b",
     r"\bmy apologies,? i (?:cannot|can'?t)\b",
-    r"\bi (?:am unable|am not able|won't|can't|refuse) to (?:help|assist|do)\b",
+    r"\bi (?:am unable|am not able|won'?t|can'?t|refuse) to (?:help|assist|do)\b",
     r"^sorry,? i (?:cannot|can'?t|won'?t)\b",
 ]
 
 
 def _refusals() -> list[str]:
-    return [r"^i (?:can't|cannot) (?:" + "|".join(REFUSAL_TAILS) + ")", *REFUSAL_PATTERNS]
+    return ["^(?:" + "|".join(REFUSAL_PHRASES) + ")", *REFUSAL_PATTERNS]
 
 
 def normalize_refusal(text: Column, ascii_only: bool = False) -> Column:

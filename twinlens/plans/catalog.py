@@ -222,26 +222,18 @@ def drop_counts_table(spark, d):
     return G.drop_counts_table(perturbed(spark, d)).select("reason", "count", F.round("rate", 9).alias("rate"))
 
 
-# SQL's string distance counts bytes, so conversations (short texts) are compared after their tokens became ASCII letters
-_EDIT = r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS a,
-  list_filter(regexp_split_to_array(replace(text, 'th', 'z'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS b FROM conversations),
-c AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS u FROM t),
-l AS (SELECT conv_id, turn, len(a) AS n, len(u) AS k, array_to_string(list_transform(a, lambda w: chr((list_position(u, w) + 32)::INT)), '') AS x,
-  array_to_string(list_transform(b, lambda w: chr((list_position(u, w) + 32)::INT)), '') AS y FROM c)"""
-
-
 def _edits(spark, d):
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", T.words(F.col("text")).alias("a"), T.words(F.replace("text", F.lit("th"), F.lit("z"))).alias("b")).where(F.size(F.array_distinct(F.concat("a", "b"))) <= 94)
+    c = table(spark, d, "conversations").repartition(spark.sparkContext.defaultParallelism)
+    return c.select("conv_id", "turn", T.words(F.col("text")).alias("a"), T.words(F.replace("text", F.lit("th"), F.lit("z"))).alias("b"))
 
 
-@query(_EDIT + " SELECT conv_id, turn, levenshtein(x, y)::INT AS distance FROM l WHERE k <= 94")
+# SQL's string distance counts bytes and has no letters for all tokens of a long text, so tests hold these against the two-row DP
+@query()
 def token_edit_distance(spark, d):
-    """Texts with more than 94 distinct tokens are for ``token_edit_distance_all``: SQL has no letters for them."""
     return _edits(spark, d).select("conv_id", "turn", T.token_edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query(_EDIT + " SELECT conv_id, turn, round(CASE WHEN n > 0 THEN levenshtein(x, y) / n * 100.0 END, 9) AS pct FROM l WHERE k <= 94")
+@query()
 def token_edit_pct(spark, d):
     return _edits(spark, d).select("conv_id", "turn", F.round(T.token_edit_pct(F.col("a"), F.col("b")), 9).alias("pct"))
 
@@ -249,9 +241,7 @@ def token_edit_pct(spark, d):
 @query()
 def token_edit_distance_all(spark, d):
     """Distance and percentage of every row, whatever its number of distinct tokens; tests hold them against the two-row DP."""
-    c = table(spark, d, "conversations").repartition(spark.sparkContext.defaultParallelism)
-    c = c.select("conv_id", "turn", T.words(F.col("text")).alias("a"), T.words(F.replace("text", F.lit("th"), F.lit("z"))).alias("b"))
-    c = c.select("conv_id", "turn", F.size("a").alias("n"), T.token_edit_distance(F.col("a"), F.col("b")).alias("distance"))
+    c = _edits(spark, d).select("conv_id", "turn", F.size("a").alias("n"), T.token_edit_distance(F.col("a"), F.col("b")).alias("distance"))
     return c.select("conv_id", "turn", "distance", F.when(F.col("n") > 0, F.col("distance") / F.col("n") * 100.0).alias("pct"))
 
 
@@ -260,9 +250,9 @@ _INJECT = """CASE conv_id % 6 WHEN 0 THEN 'I cannot help with that. ' || text WH
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, lower(trim({_INJECT})) AS t FROM conversations)
-SELECT conv_id, turn, regexp_matches(t, '^i (can''t|cannot) ({"|".join(T.REFUSAL_TAILS)})') OR regexp_matches(t, '^as an ai([,\\s]|$)') OR regexp_matches(t, '^as a language model([,\\s]|$)')
+SELECT conv_id, turn, regexp_matches(t, '^({"|".join(T.REFUSAL_PHRASES).replace("'", "''")})') OR regexp_matches(t, '^as an ai([,\\s]|$)') OR regexp_matches(t, '^as a language model([,\\s]|$)')
   OR regexp_matches(t, '\\bi''?m sorry,? but i (cannot|can not|can''t|won''t)\\b') OR regexp_matches(t, '\\bunfortunately,? i (cannot|can''?t|won''?t)\\b')
-  OR regexp_matches(t, '\\bmy apologies,? i (cannot|can''?t)\\b') OR regexp_matches(t, '\\bi (am unable|am not able|won''t|can''t|refuse) to (help|assist|do)\\b')
+  OR regexp_matches(t, '\\bmy apologies,? i (cannot|can''?t)\\b') OR regexp_matches(t, '\\bi (am unable|am not able|won''?t|can''?t|refuse) to (help|assist|do)\\b')
   OR regexp_matches(t, '^sorry,? i (cannot|can''?t|won''?t)\\b') AS refusal FROM t""")
 def refusal_flag(spark, d):
     k, t = F.col("conv_id") % 6, F.col("text")
