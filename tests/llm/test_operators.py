@@ -45,7 +45,7 @@ def test_bpe(docs, none):
 
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    out = byte_bpe.decode(byte_bpe.encode(docs.drop("ids"), ranks, P.PATTERN, head_words=40), ranks).collect()
+    out = byte_bpe.decode(byte_bpe.encode(docs.drop("ids"), ranks, P.PATTERN), ranks).collect()
     assert len(out) == len(TEXTS)
     for r in out:
         t = TEXTS[r["doc_id"]] or ""
@@ -54,6 +54,29 @@ def test_bpe(docs, none):
     assert byte_bpe.encode(none, ranks, P.PATTERN).count() == 0
 
 
+def test_bpe_long_words_white_space_and_query(spark, tmp_path):
+    """Words on both sides of the fold's bound, one of a megabyte, runs of white space of many kinds, repeated rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    odd = ["a", "Zé", "7", "!", "'s", "'ll", " ", "  ", "\n", "\t ", "\x85", "\xa0", "\u3000", "\x1c", "\0", "日本", "😀"]
+    texts = [letters(n) for n in (1023, 1024, 1025, 3000)] + [" ".join(letters(1100) for _ in range(4)), letters(1_000_000), "=" * 5000, None, "", " ", *("".join(rng.choices(odd, k=rng.randrange(40))) for _ in range(400))]
+    texts += texts[:40]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string()), "n_tokens": [1] * len(texts)}), f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in byte_bpe.op1_byte_bpe(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ids = plain.encode_ordinary(t or "")
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))

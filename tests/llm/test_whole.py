@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from twinlens.llm import embedding_dedup, jaccard_join, mixing, suffix_dedup, warc
+from twinlens.llm import byte_bpe, embedding_dedup, jaccard_join, mixing, suffix_dedup, warc
 from twinlens.plans import catalog
 
 
@@ -92,3 +92,61 @@ def test_repeated_and_null_ids_are_cut_apart(spark, tmp_path):
     assert sorted(r["text"] for r in suffix_dedup.cut(docs).collect()) == sorted(want)
     got = sorted(r["kept_sha256"] for r in suffix_dedup.op10_suffix_dedup(spark, str(tmp_path)).collect())
     assert got == sorted(hashlib.sha256(t.encode()).hexdigest() for t in want)
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """The rows that ``run`` returns, stage by stage, against brute force on small documents."""
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(12)
+    letters = {"en": "the of and to in that was with for is", "fr": "le de et les des que une pour dans est"}
+    own = {k: v.split() + ["".join(rng.choices("aeiourstln", k=6)) + k for _ in range(400)] for k, v in letters.items()}
+    prose = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(i, lang := ("en", "fr")[i % 2], prose(lang, 120)) for i in range(60)]
+    passage = prose("en", 40)
+    rows += [(100, "en", rows[0][2]), (101, "fr", rows[1][2].rsplit(" ", 1)[0] + " xx"), (102, "en", prose("en", 60) + " " + passage), (103, "en", prose("en", 70) + " " + passage), (104, None, None), (105, "en", ""), (106, "en", "12 34 !"), (None, "fr", prose("fr", 90))]
+    rng.shuffle(rows)
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[2] for r in rows], pa.string()), "lang": pa.array([r[1] for r in rows], pa.string()), "source": [("a", "b", None)[i % 3] for i in range(len(rows))], "n_chars": [len(r[2] or "") for r in rows]}), f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    now, want = docs, {i: t for i, _, t in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), docs.schema)
+        assert now.columns == docs.columns
+        kept[name] = [(r["doc_id"], r["text"]) for r in now.collect()]
+    # no text, no letter
+    want = {i: t for i, t in want.items() if i not in (104, 105, 106)}
+    assert sorted(kept["language_id"], key=str) == sorted(want.items(), key=str)
+    # of each group of near copies the smallest id
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))} for i, t in want.items()}
+    real = sorted(i for i in want if i is not None)
+    gone = {b for a in real for b in real if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert gone == {100, 101}
+    want = {i: t for i, t in want.items() if i not in gone}
+    assert sorted(kept["jaccard_join"], key=str) == sorted(want.items(), key=str)
+    # strings of 50 bytes that start in a document before
+    order, seen, cut = sorted(want, key=lambda i: (i is None, i or 0)), set(), {}
+    for i in order:
+        data = want[i].encode()
+        grams = [data[k : k + 50] for k in range(len(data) - 49)]
+        covered = {x for k, g in enumerate(grams) if g in seen for x in range(k, k + 50)}
+        cut[i] = bytes(c for k, c in enumerate(data) if k not in covered).decode("utf-8", "ignore")
+        seen.update(grams)
+    assert len(cut[103]) < len(want[103])
+    assert sorted(kept["suffix_dedup"], key=str) == sorted(cut.items(), key=str)
+    # the mix repeats or leaves out documents, whole
+    assert set(kept["mixing"]) <= set(cut.items()) and len(kept["mixing"]) > 20
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = [(r["doc_id"], bytes(r["decoded"]), np.frombuffer(r["ids"], "<u4").tolist(), r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    ids = lambda t: plain.encode_ordinary(t)
+    assert sorted(got, key=str) == sorted(((i, t.encode(), ids(t), len(ids(t))) for i, t in kept["mixing"]), key=str)
+
+
+def test_without_some_ids(spark):
+    """The join behind a Bloom filter leaves out exactly the ids given, whatever the filter lets through."""
+    rows = spark.range(3000).selectExpr("id", "concat('t', id) as text")
+    out = jaccard_join.without(rows, spark.range(0, 3000, 7), "id").collect()
+    assert sorted(r["id"] for r in out) == [i for i in range(3000) if i % 7]
+    assert jaccard_join.without(rows, spark.range(0), "id").count() == 3000

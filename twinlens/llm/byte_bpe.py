@@ -2,40 +2,50 @@
 
 Words are the matches of the tokenizer's split pattern. Merges are folded by Spark higher-order functions over the
 byte arrays of distinct words, with the ranks of pairs as one literal map (a perfect hash table in arrays, as Spark scans
-a map's keys):
-
-1. a pass counts the words; the frequent ones, at most ``head_words`` of at most ``HEAD_BYTES`` bytes each, are folded
-   once and their ids broadcast (a table of proven size, which only saves work);
-2. a second pass replaces each word by its place in that table; the other distinct words of a chunk of documents travel
-   with its first one and are folded in the same way;
-3. ids are assembled, and decoding concatenates the ids' binary pieces.
-
-No document is shuffled. Null text is encoded as the empty text, which has no ids; extra columns are ignored unless
-named; repeated rows give repeated results; an empty table gives an empty result.
+a map's keys). Each distinct word of all documents is folded once:
+
+1. documents are dealt to chunks of about ``CHUNK`` bytes by a hash of the row; a chunk sends its distinct words, in the
+   order of their hashes, to the buckets of words that ranges of the hash make;
+2. a bucket folds its distinct words and sends each chunk the ids of that chunk's words, in the order in which they came;
+3. the chunk, whose documents stay where they were dealt, takes the ids of its words, of its units (parts of texts whose
+   words don't depend on what is around them) and of its documents; decoding takes the ids' binary pieces.
+
+Buckets and chunks grow in number with the data, not in size. A word of more than ``FOLDED`` bytes is merged by a heap in
+its bucket instead, as the fold takes time with the square of a word's length. Null text is encoded as the empty text,
+which has no ids; extra columns are ignored unless named, and may have any name that does not start with an underscore;
+repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lean, release, short_plans, small_batches, stored
+from .common import lean, lean_group, release, short_plans, small_batches, squeezed, text_bytes
 
-#: Bounds of the broadcast table of frequent words.
-HEAD_WORDS, HEAD_BYTES = 1 << 16, 48
-#: Characters of the documents that share their other words.
-CHUNK = 2 << 20
+#: Bytes of text of a chunk of documents and of the text that a bucket of words stands for, on average.
+CHUNK, BUCKET = 12 << 20, 16 << 20
+#: Bytes of the longest word that is folded; words of a row.
+FOLDED, ROW_WORDS = 1 << 10, 1 << 10
+#: Units that are put together at once.
+STEP = 1 << 20
 #: The split pattern (fixed value) whose matches can be found piece by piece.
 BY_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A single space between what is no white space: no word reaches over it to the left.
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
 _NONE = 2**31 - 1
 
 
@@ -164,181 +174,316 @@ def _fold_one(word: Column, table: Column, ranks: RankMap) -> Column:
     return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
 
 
-class Pieces(dict):
-    """What is made of each piece of a text that is split at single spaces.
-
-    Under ``BY_SPACE`` no word goes beyond the space after it unless that space is part of a longer run, so the words of
-    a piece with the space before it do not depend on the rest of the text. A piece that is empty or that starts or
-    ends with white space may be part of such a run: its text is matched as a whole (``KeyError``).
+def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word: least rank first, leftmost first, by a heap over linked pieces."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and (j := after[i]) < n and (r := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (r, i, end[j]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if end[i] < 0 or (j := after[i]) >= n or end[j] != stop:
+            continue  # one of the two pieces has been merged since
+        end[i], end[j], after[i] = stop, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [ranks[word[i : end[i]]] for i in range(n) if end[i] > 0]
+
+
+class Units(NamedTuple):
+    """Documents as runs of units: document d is ``codes[stops[d]:stops[d + 1]]``, unit u the words at ``places[parts[u]:parts[u + 1]]``."""
+
+    words: pa.LargeStringArray  # distinct, in the order of their hashes
+    hashes: np.ndarray
+    places: np.ndarray
+    parts: np.ndarray
+    codes: np.ndarray
+    stops: np.ndarray
+
+
+def units(texts: pa.Array, pattern: str) -> Units:
+    """The units and the words of ``texts``.
+
+    Under ``BY_SPACE`` no word goes beyond the space after it unless that space is part of a longer run, so units are
+    what single spaces part, with the space before them. A text in which a space is part of a longer run of white space
+    is parted where it can be; under other patterns a text is one unit.
     """
-
-    def __init__(self, make: Callable):
-        self.make = make
-
-    def __missing__(self, piece: str):
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise KeyError(piece)
-        made = self[piece] = self.make(" " + piece)
-        return made
-
-    def of(self, text: str) -> tuple[str, list] | None:
-        """The piece before the first space, and what is made of the others; none if the text can't be split."""
-        first, *others = text.split(" ")
-        if not first or first[0].isspace() or first[-1].isspace():
-            return None
-        try:
-            return first, list(map(self.__getitem__, others))
-        except KeyError:
-            return None
-
-
-def _count(pattern: str, column: int = 0):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
-
-        def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= HEAD_BYTES]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for t in b.column(column):
-                seen.update(find(t.as_py() or ""))
-            if len(seen) > 1 << 17:
-                yield out()
-        yield out()
-
-    return run
-
-
-def head_table(texts: DataFrame, pattern: str, limit: int) -> DataFrame:
-    """The frequent words: those whose count is at least the least power of two that leaves no more than ``limit``."""
-    words = stored(texts.mapInArrow(lean(_count(pattern)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
-    by_bits, total, least = words.groupBy(F.length(F.bin("n")).alias("bits")).count().orderBy(F.desc("bits")).collect(), 0, 64
-    for bits, n in by_bits:
-        if (total := total + n) > limit:
-            break
-        least = bits
-    return words.where(F.length(F.bin("n")) >= least).select("word")
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for words, ids in zip(b.column(0), b.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(words.as_py(), pa.string()), pa.array([np.array(x, "<u4").tobytes() for x in ids.as_py()], pa.binary())], ["word", "ids"])
-
-
-def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], head_words: int) -> tuple[DataFrame, Callable, str]:
-    """Documents as places in the table of words, beside the ids of their other words; what makes ids of them; kept columns' types."""
+    find = regex.compile(pattern).findall
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    n, found, counts, whole, odd = len(texts), [], [], {}, range(len(texts))
+    codes, stops, known = np.empty(0, np.int64), np.zeros(n + 1, np.int64), 0
+    if pattern == BY_SPACE and n:
+        lists = pc.split_pattern(texts, " ")
+        stops = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.values.dictionary_encode()
+        codes, names = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+        plain = np.array([bool(p) and not p[0].isspace() and not p[-1].isspace() for p in names], bool)
+        odd = np.unique(np.searchsorted(stops, np.flatnonzero(~plain[codes]), "right") - 1).tolist()
+        if plain.any():
+            found = find(" " + " ".join([p for p, ok in zip(names, plain.tolist(), strict=True) if ok]))
+            begin = np.flatnonzero(np.fromiter((w[0] == " " for w in found), bool, len(found)))
+            each = np.zeros(len(names), np.int64)
+            each[plain] = np.diff(np.append(begin, len(found)))
+            counts = each.tolist()
+        # a document's first piece has no space before it
+        first, codes[stops[:-1]] = np.unique(codes[stops[:-1]], return_inverse=True)
+        for p in first.tolist():
+            own = find(names[p]) if plain[p] else []
+            found += own
+            counts.append(len(own))
+        codes[stops[:-1]] += len(names)
+        known = len(counts)
+    if len(odd):
+        runs, last = [], 0
+        for d in odd:
+            text = texts[d].as_py()
+            keys = [text]
+            if pattern == BY_SPACE:
+                head, *others = _SAFE.split(text)
+                keys = [head, *[" " + x for x in others]]
+            runs += [codes[stops[last] : stops[d]], np.array([known + whole.setdefault(k, len(whole)) for k in keys], np.int64)]
+            last = d + 1
+        sizes = np.diff(stops)
+        sizes[list(odd)] = [len(r) for r in runs[1::2]]
+        codes = np.concatenate([*runs, codes[stops[last] : stops[n]]])
+        stops = np.append(0, np.cumsum(sizes))
+        for k in whole:
+            own = find(k)
+            found += own
+            counts.append(len(own))
+    coded = pa.array(found, pa.large_string()).dictionary_encode()
+    words = coded.dictionary
+    hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.empty(0, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    if (hashes[order[1:]] == hashes[order[:-1]]).any():
+        order = np.array(sorted(range(len(words)), key=lambda i: (hashes[i], words[i].as_py())))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Units(words.take(pa.array(order)), hashes[order], place[coded.indices.to_numpy()], np.append(0, np.cumsum(counts, dtype=np.int64)), codes, stops)
+
+
+def _bytes(offsets: np.ndarray, data) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def _layout(array: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a large binary or string array that starts at its buffers' start."""
+    if not len(array):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, offsets, data = array.buffers()
+    return np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1], memoryview(data or b"")
+
+
+def pack(lengths: np.ndarray, data) -> bytes:
+    """Items of given lengths as one blob: their number, lengths under 255 in a byte each, the others, the data."""
+    return b"".join([np.uint32(len(lengths)).tobytes(), np.minimum(lengths, 255).astype("u1").tobytes(), lengths[lengths >= 255].astype("<u8").tobytes(), data])
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, memoryview]:
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    lengths = np.frombuffer(blob, "u1", n, 4).astype(np.int64)
+    large = np.flatnonzero(lengths == 255)
+    lengths[large] = np.frombuffer(blob, "<u8", len(large), 4 + n)
+    return lengths, memoryview(blob)[4 + n + 8 * len(large) :]
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, bytes]:
+    """Lengths and data of several blobs as of one."""
+    parts = [unpack(b) for b in blobs]
+    return np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)]), b"".join([p[1] for p in parts])
+
+
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(lengths, dtype=np.int64))
+
+
+def _large(texts: pa.ChunkedArray) -> pa.Array:
+    opened = zstandard.ZstdDecompressor().decompress
+    return pa.array([opened(x.as_py()) if x.is_valid else b"" for x in texts], pa.large_binary()).cast(pa.large_string())
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], make: Callable, more: str) -> DataFrame:
+    """``keep`` columns, and ``more`` columns that ``make`` makes of the ids of some documents (offsets, packed ids)."""
     spark = docs.sparkSession
-    literal = rank_map(ranks)
+    literal, shared = rank_map(ranks), spark.sparkContext.broadcast(ranks)  # a vocabulary, a parameter
+    narrow = max(ranks.values()) < 1 << 16
     small_batches(spark)
     short_plans(spark)
-    head = head_table(docs.select(text), pattern, head_words).repartition(2 * spark.sparkContext.defaultParallelism)
-    folded = head.mapInArrow(lean(_grouped), "words array<string>").select("words", fold(F.col("words"), literal).alias("ids")).mapInArrow(lean(_packed), "word string, ids binary").toArrow()
-    # each of the two Python steps below gets the half that it needs
-    numbers = spark.sparkContext.broadcast(dict(zip(folded["word"].to_pylist(), range(len(folded)), strict=True)))
-    packs = spark.sparkContext.broadcast(folded["ids"].to_pylist())
-    del folded
-    release()
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, at = regex.compile(pattern).findall, numbers.value
-        other: dict[str, int] = {}
-        passing: list[str] = []
-
-        def coded(text: str) -> bytes:
-            words = find(text)
-            own = list(map(at.get, words))
-            if None in own:  # these codes hold in this chunk alone
-                own = [other.setdefault(w, ~len(other)) if x is None else x for x, w in zip(own, words, strict=True)]
-                passing.append(text[1:])
-            return np.array(own, "<i4").tobytes()
-
-        parts = Pieces(coded)
-        for b in batches:
-            texts, k = b.column(b.num_columns - 1), 0
-            while k < b.num_rows:
-                codes, held, first = [], 0, k
-                while k < b.num_rows and held < CHUNK:
-                    t = texts[k].as_py() or ""
-                    split = parts.of(t) if pattern == BY_SPACE else None
-                    codes.append(coded(split[0]) + b"".join(split[1]) if split else coded(t))
-                    held, k = held + len(t), k + 1
-                rest = [list(other)] + [None] * (len(codes) - 1)
-                yield pa.RecordBatch.from_arrays([*b.slice(first, k - first).columns[:-1], pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], [*names, "_codes", "_rest"])
-                for p in passing:
-                    parts.pop(p, None)
-                other.clear(), passing.clear()
-                if len(parts) > 1 << 16:
-                    parts.clear()
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, own = packs.value, []
-        for b in batches:
-            ids = []
-            for codes, rest in zip(b.column(len(names)), b.column(len(names) + 1), strict=True):
-                if (rest := rest.as_py()) is not None:  # the other words of this document and those after it in the chunk
-                    own = [np.array(x, "<u4").tobytes() for x in reversed(rest)]
-                ids.append(b"".join([packed[c] if c >= 0 else own[c] for c in np.frombuffer(codes.as_py(), "<i4").tolist()]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(ids, pa.binary())], [*names, "ids"])
-
+    total = text_bytes(docs, text)
+    chunks, buckets = (max(2 * spark.sparkContext.defaultParallelism, -(-total // each)) for each in (CHUNK, BUCKET))
     names = list(keep)
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
-    coded = kept.mapInArrow(lean(places), f"{kinds}, _codes binary, _rest array<string>")
-    coded = coded.select(*keep, "_codes", fold(F.col("_rest"), literal).alias("_rest"))
-    return coded, assemble, kinds
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_words: int = HEAD_WORDS) -> DataFrame:
+    kept = docs.select(*names, F.col(text).alias("_text"))
+    kinds = "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1])
+    plain = [F.col(f"`{n}`") for n, t in kept.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    dealt = kept.withColumn("_chunk", F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(chunks)))
+    dealt = dealt.select(*names, "_chunk", "_text").mapInArrow(lean(squeezed), f"{kinds}_chunk long, _text binary").repartition(chunks, "_chunk")
+
+    def sent(table: pa.Table) -> pa.Table:
+        found = units(_large(table["_text"]), pattern)
+        bucket = ((found.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        offsets, data = _layout(found.words)
+        lengths, own = np.diff(offsets), np.unique(bucket)
+        low, high = np.searchsorted(bucket, own, "left").tolist(), np.searchsorted(bucket, own, "right").tolist()
+        blobs = [pack(lengths[a:b], data[offsets[a] : offsets[b]]) for a, b in zip(low, high, strict=True)]
+        return pa.table({"bucket": pa.array(own, pa.int64()), "chunk": pa.array([table["_chunk"][0].as_py()] * len(own), pa.int64()), "words": pa.array(blobs, pa.binary())})
+
+    def distinct(table: pa.Table) -> pa.Table:
+        """Rows of words to fold, then the ids of each long word, then each chunk's references to those in that order."""
+        lengths, data = _joined(table["words"].to_pylist())
+        each = [int(np.frombuffer(b.as_py()[:4], "<u4")[0]) for b in table["words"]]
+        coded = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(_offsets(lengths)), pa.py_buffer(data)).dictionary_encode()
+        words = coded.dictionary
+        size = pc.binary_length(words).to_numpy()
+        order = np.argsort(size > FOLDED, kind="stable")
+        place = np.empty(len(order), "<i4")
+        place[order] = np.arange(len(order))
+        words, folded, known = words.take(pa.array(order)), int((size <= FOLDED).sum()), shared.value
+        refs, at = place[coded.indices.to_numpy()], _offsets(np.array(each, np.int64))
+        rows = [words[k : min(k + ROW_WORDS, folded)].to_pylist() for k in range(0, folded, ROW_WORDS)]
+        given = [np.array(merged_long(w.as_py().encode(), known), "<u4").tobytes() for w in words[folded:]]
+        r, g, c = len(rows), len(given), len(each)
+        return pa.table({
+            "bucket": pa.array([table["bucket"][0].as_py()] * (r + g + c), pa.int64()),
+            "words": pa.array([*rows, *[None] * (g + c)], pa.list_(pa.string())),
+            "given": pa.array([*[None] * r, *given, *[None] * c], pa.binary()),
+            "chunk": pa.array([*[None] * (r + g), *table["chunk"].to_pylist()], pa.int64()),
+            "refs": pa.array([*[None] * (r + g), *[refs[at[i] : at[i + 1]].tobytes() for i in range(c)]], pa.binary()),
+        })
+
+    kind = "<u2" if narrow else "<u4"
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lengths, ids, folded = None, [], [], None
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                bucket, words, given, chunk, refs = (c[i] for c in b.columns)
+                if bucket.as_py() != now:
+                    now, lengths, ids, folded = bucket.as_py(), [], [], None
+                if words.is_valid:
+                    v = words.values
+                    lengths.append(pc.list_value_length(v).to_numpy())
+                    ids.append(v.flatten().to_numpy().astype(kind))
+                elif given.is_valid:
+                    ids.append(np.frombuffer(given.as_py(), "<u4").astype(kind))
+                    lengths.append(np.array([len(ids[-1])]))
+                else:
+                    if folded is None:
+                        folded = _bytes(_offsets(np.concatenate(lengths)) * np.dtype(kind).itemsize, np.concatenate(ids).tobytes())
+                    offsets, data = _layout(folded.take(pa.array(np.frombuffer(refs.as_py(), "<i4"))))
+                    out.append((chunk.as_py(), now, pack(np.diff(offsets) // np.dtype(kind).itemsize, data[: offsets[-1]])))
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["_chunk", "bucket", "ids"])
+
+    def assembled(table: pa.Table, words: pa.Table) -> pa.Table:
+        found = units(_large(table["_text"]), pattern)
+        table = table.select(names)
+        lengths, data = _joined(words.sort_by("bucket")["ids"].to_pylist())
+        if len(lengths) != len(found.words):
+            raise ValueError("the words of a chunk are not those that its buckets had")
+        word = _bytes(_offsets(lengths) * 4, np.frombuffer(data, kind).astype("<u4").tobytes())
+        offsets, data = _layout(word.take(pa.array(found.places)))
+        unit = _bytes(offsets[found.parts], pa.py_buffer(data))
+        out, first, n = [], 0, len(table)
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(found.stops, found.stops[first] + STEP, "right")) - 1)
+            at = found.stops[first : last + 1]
+            offsets, data = _layout(unit.take(pa.array(found.codes[at[0] : at[-1]])))
+            made = make(offsets[at - at[0]], data)
+            part = table.slice(first, last - first).combine_chunks()
+            out.append(pa.table([*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns], *made], [*names, *more_names]))
+            first = last
+        return pa.concat_tables(out)
+
+    more_names = [x.split()[0] for x in more.split(", ")]
+    words = dealt.groupBy("_chunk").applyInArrow(lean_group(sent), "bucket long, chunk long, words binary")
+    folds = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean_group(distinct), "bucket long, words array<string>, given binary, chunk long, refs binary")
+    folds = folds.select("bucket", fold(F.col("words"), literal).alias("words"), "given", "chunk", "refs")
+    ids = folds.mapInArrow(lean(back), "_chunk long, bucket long, ids binary")
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = assembled(left, right)
+        release()
+        return out
+
+    return dealt.groupBy("_chunk").cogroup(ids.groupBy("_chunk")).applyInArrow(both, f"{kinds}{more}")
+
+
+def _decoded(ids: memoryview, offsets: np.ndarray, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """The concatenated pieces of packed ids: where each document's ids end, and the bytes."""
+    at, data = _layout(pieces.take(pa.array(np.frombuffer(ids, "<u4"))))
+    return at[offsets // 4], data
+
+
+def _pieces(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
+    table = [b""] * (max(ranks.values()) + 1)
+    for b, r in ranks.items():
+        table[r] = b
+    return pa.array(table, pa.large_binary())
+
+
+def _cut(offsets: np.ndarray, data: memoryview) -> list[memoryview]:
+    at = offsets.tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def _binary(offsets: np.ndarray, data: memoryview) -> pa.Array:
+    return pa.array([bytes(x) for x in _cut(offsets, data)], pa.binary())
+
+
+def _made(ranks, digest: bool) -> tuple[Callable, str]:
+    """What is made of ids: them and the decoded bytes, or the digests that the query returns."""
+    held: list[pa.LargeBinaryArray] = []
+
+    def make(offsets: np.ndarray, data: memoryview) -> list[pa.Array]:
+        if not held:
+            held.append(_pieces(ranks.value))
+        at, text = _decoded(data[offsets[0] : offsets[-1]], offsets - offsets[0], held[0])
+        if not digest:
+            return [_binary(offsets, data), _binary(at, text)]
+        sha = [pa.array([hashlib.sha256(x).hexdigest() for x in _cut(*y)], pa.string()) for y in ((offsets, data), (at, text))]
+        return [pa.array(np.diff(offsets) // 4, pa.int64()), *sha]
+
+    return make, "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text), one row per row."""
-    coded, assemble, kinds = _coded(docs, ranks, pattern, text, keep, head_words)
-    return coded.mapInArrow(lean(assemble), f"{kinds}, ids binary")
-
+    return _coded(docs, ranks, pattern, text, keep, lambda offsets, data: [_binary(offsets, data)], "ids binary")
 
-def decode_pieces(ids: bytes, pieces: dict[int, bytes]) -> bytes:
-    return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
-
-def _decoder(spark: SparkSession, ranks: dict[bytes, int], names: list[str], digest: bool) -> tuple[Callable, str]:
-    pieces = spark.sparkContext.broadcast({r: b for b, r in ranks.items()})
+def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) -> DataFrame:
+    """Add ``decoded``: the concatenated pieces (binary); with ``digest`` the digests that the query returns instead of both. Null ids are none."""
+    names = [c for c in encoded.columns if c != "ids"]
+    kept = encoded.select(*names, "ids")
+    make, more = _made(encoded.sparkSession.sparkContext.broadcast(ranks), digest)
+    more_names = [x.split()[0] for x in more.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 c = b.slice(k, 256)
-                ids = [x.as_py() for x in c.column(len(names))]
-                text = [decode_pieces(x, table) for x in ids]
-                if digest:
-                    sha = [[hashlib.sha256(x).hexdigest() for x in y] for y in (ids, text)]
-                    more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())]
-                else:
-                    more = [pa.array(ids, pa.binary()), pa.array(text, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*c.columns[:-1], *more], [*names, *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+                ids = [x.as_py() or b"" for x in c.column(len(names))]
+                made = make(_offsets(np.array([len(x) for x in ids], np.int64)), memoryview(b"".join(ids)))
+                yield pa.RecordBatch.from_arrays([*c.columns[:-1], *made], [*names, *more_names])
 
-    return run, "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
-
-
-def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) -> DataFrame:
-    """Add ``decoded``: the concatenated pieces (binary); with ``digest`` the digests that the query returns instead of both."""
-    names = [c for c in encoded.columns if c != "ids"]
-    kept = encoded.select(*names, "ids")
-    run, more = _decoder(encoded.sparkSession, ranks, names, digest)
-    return kept.mapInArrow(lean(run), ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + f", {more}")
+    return kept.mapInArrow(lean(run), "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1]) + more)
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """``decode`` of ``encode``, both in one Python step, so that a task has one worker less."""
-    coded, assemble, kinds = _coded(docs, ranks, pattern, "text", keep, HEAD_WORDS)
-    run, more = _decoder(docs.sparkSession, ranks, list(keep), digest)
-    return coded.mapInArrow(lean(lambda batches: run(assemble(batches))), f"{kinds}, {more}")
+    """``decode`` of ``encode``, both in one Python step, so that ids travel once."""
+    make, more = _made(docs.sparkSession.sparkContext.broadcast(ranks), digest)
+    return _coded(docs, ranks, pattern, "text", keep, make, more)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR.
@@ -46,7 +47,7 @@ def discard(df: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts, which are held by the JVM and by Python at once. A lower setting stands."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         with contextlib.suppress(Exception):  # not every version of Spark has both
             now = spark.conf.get(key)
             if not now.isdigit() or not 0 < int(now) <= most:
@@ -89,6 +90,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts: what numbers of buckets are taken from, so that a bucket stays as large whatever the input."""
+    return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+
+
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, compressed each: they are most of what is shuffled."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        texts = pa.array([press(x.as_py().encode("utf-8", "replace")) if x.is_valid else None for x in b.column(b.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], b.schema.names)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "left", salt_from: str = "doc_id") -> DataFrame:
     """Join a possibly hot ``key``: ``right`` has one row per key and is repeated once per salt, ``left`` is spread by ``salt_from``."""
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))

@@ -27,11 +27,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, discard, lean, lean_group, partitions, row_key, salted_join, small_batches, stored
+from .common import components, discard, lean, lean_group, partitions, row_key, salted_join, small_batches, stored, text_bytes
 from .shingles import Hasher, mix, shingle_set
 
-#: Classes of a searched block; bits of the Bloom filter; signatures that a task holds before it sends them.
-BLOCK, BLOOM_BITS, HELD = 256, 1 << 24, 1 << 18
+#: Classes of a searched block; bits of the Bloom filter; signatures that a task holds before it sends them; text that a bucket stands for.
+BLOCK, BLOOM_BITS, HELD, BUCKET = 256, 1 << 24, 1 << 18, 8 << 20
 #: DivideSkip's weight of the number of long lists.
 MU = 0.0085
 _U = np.uint64
@@ -223,6 +223,23 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` (not null) is none of ``ids``, so that of the others only few are shuffled.
+
+    A Bloom filter of BLOOM_BITS bits (a table of fixed size, broadcast) tells what is certainly not among ``ids``; the
+    rest is joined. With many more ids than bits the filter lets all through to the join.
+    """
+    spot = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(BLOOM_BITS))
+    bits = ids.select(F.explode(F.array(spot(1), spot(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    bits = stored(bits, "bloom")
+    for k in (1, 2):
+        rows = rows.withColumn(f"_at{k}", spot(k)).withColumn(f"_word{k}", F.shiftright(f"_at{k}", 6))
+        rows = rows.join(F.broadcast(bits.select(F.col("word").alias(f"_word{k}"), F.col("bits").alias(f"_bits{k}"))), f"_word{k}", "left")
+    hit = " and ".join(f"coalesce(shiftright(_bits{k}, cast(_at{k} % 64 as int)) & 1, 0) = 1" for k in (1, 2))
+    extra = [f"_{x}{k}" for x in ("at", "word", "bits") for k in (1, 2)]
+    return rows.where(f"not ({hit})").drop(*extra).unionByName(rows.where(hit).drop(*extra).join(ids, column, "left_anti"))
+
+
 def search(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set, the smallest place that its links reach within ``sets``: the T-occurrence search of a block."""
     n = len(sets)
@@ -309,13 +326,14 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
 def keyed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``join`` with each row's ``key`` (see ``row_key``) and the ``component``, one of the component's keys."""
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = max(2 * partitions(spark), -(-text_bytes(docs) // BUCKET))
     small_batches(spark)
     packed = stored(class_and_signatures(docs, shingle, percent, buckets), "jaccard-signatures")
     every = stored(packed.where("bucket < 0").mapInArrow(lean(_unpack), "key long, blank boolean, n_shingles long, class long, sketch binary"), "jaccard-classes")
     runs = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(_runs), "run long, class long").distinct()
     known = every.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    runs = salted_join(runs, known, "class", 4, "inner", "run").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+    # a class is in no more runs than its set has ranges
+    runs = runs.join(known, "class").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
     met = runs.select("bucket", "run", "class", "n_shingles", "sketch").groupBy("bucket").applyInArrow(lean_group(_links_of_runs(percent)), "a long, b long").distinct()
     cluster = components(met, "jaccard-clusters")
     discard(packed)

@@ -30,12 +30,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lean, lean_group, partitions, release, small_batches
+from .common import lean, lean_group, partitions, release, small_batches, squeezed
 from .shingles import mix
 
 GRAM, PIECE, HELD = 24, 1 << 18, 1 << 19
 #: Bits of the filters of repeated and of frequent anchors; occurrences that make an anchor frequent.
 SHARED_BITS, HOT_BITS, HOT = 1 << 26, 1 << 22, 1024
+#: Contexts that are sorted together, beyond those of one anchor.
+SORTED = 1 << 13
 _U = np.uint64
 _NULL_ID = np.iinfo(np.int64).max
 #: A place is the offset in a text (31 bits), its tag, and whether its id is null, when the document's number is its tag.
@@ -381,7 +383,14 @@ def spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
             new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
             kinds = np.add.reduceat(np.concatenate([[1], (c[order][1:] != c[order][:-1]) | new[1:]]).astype(np.int64), np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
             left = order[(kinds > 1)[np.cumsum(new) - 1]] if len(order) else order
-            found += _within(context[left], size[left], doc[left], start[left], length)
+            # strings of different anchors differ, so some anchors at a time are sorted
+            ends = np.flatnonzero(np.concatenate([h[left][1:] != h[left][:-1], [True]])) + 1 if len(left) else left
+            at = 0
+            while at < len(left):
+                stop = int(ends[min(np.searchsorted(ends, at + SORTED), len(ends) - 1)])
+                part = left[at:stop]
+                found += _within(context[part], size[part], doc[part], start[part], length)
+                at = stop
             doc, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         batches = list(covers(doc, start, end))
         return pa.Table.from_batches(batches, _SCHEMA) if batches else _SCHEMA.empty_table()
@@ -473,9 +482,10 @@ def _keep(text: bytes, starts: bytes | None, ends: bytes | None) -> tuple[bytes,
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``found``, where a text has ranges."""
+    """``docs`` with the columns of ``found``, where a text has ranges. ``text`` is compressed bytes, so that less is shuffled."""
     found = found.withColumnsRenamed({"doc_id": "_doc", "tag": "_found"})
-    own = docs.withColumn("_tag", tag())
+    own = docs.withColumn("_tag", tag()).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "_tag", "text")
+    own = own.mapInArrow(lean(squeezed), ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1]) + ", text binary")
     return own.join(found, (F.col("_tag") == F.col("_found")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc", "_found", "_tag")
 
 
@@ -486,11 +496,12 @@ def cut(docs: DataFrame, length: int = 50) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
             texts = []
             for t, s, e in zip(b.column(at), b.column(len(names)), b.column(len(names) + 1), strict=True):
                 t, s = t.as_py(), s.as_py()
-                texts.append(t if not s else _keep(t.encode(), s, e.as_py())[0].decode("utf-8", "ignore"))
+                texts.append(None if t is None else _keep(open_(t), s, e.as_py())[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : len(names)]], names)
 
     return both.select(*names, "_starts", "_ends").mapInArrow(lean(run), docs.schema)
@@ -501,10 +512,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = with_spans(docs, spans(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
             for i, t, s, e in zip(*b.columns, strict=True):
-                text = (t.as_py() or "").encode("utf-8", "replace")
+                text = open_(t.as_py()) if t.is_valid else b""
                 kept, ranges = _keep(text, s.as_py(), e.as_py())
                 out.append((i.as_py(), len(text), len(text) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest()))
             if out:
