@@ -16,11 +16,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that with the smallest id stays; of null ids alone, one stays."""
-    found = jaccard_join.keyed(docs, shingle=5, percent=80)
-    first = "doc_id = component_id or (doc_id is null and component_id is null and (n_shingles = 0 or key = component))"
-    kept = stored(found.where(first).select("doc_id", "key", "n_shingles").distinct(), "near-kept")
-    out = docs.where("doc_id is not null").join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    blank = docs.where("doc_id is null").withColumn("_row", row_key()).join(kept.where("doc_id is null").select(F.col("key").alias("_row"), "n_shingles"), "_row")
+    found = stored(jaccard_join.keyed(docs, shingle=5, percent=80), "near-found")
+    named = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.expr("doc_id = component_id")).alias("first"))
+    dropped = stored(named.where("not first").select("doc_id"), "near-dropped")
+    out = jaccard_join.without(docs.where("doc_id is not null"), dropped, "doc_id").select(*docs.columns)
+    first = "doc_id is null and component_id is null and (n_shingles = 0 or key = component)"
+    kept = found.where(first).select(F.col("key").alias("_row"), "n_shingles").distinct()
+    blank = docs.where("doc_id is null").withColumn("_row", row_key()).join(kept, "_row")
     once = blank.where("n_shingles > 0").dropDuplicates(["_row"])  # copies of one text; texts without words are no copies
     return out.unionByName(once.select(*docs.columns)).unionByName(blank.where("n_shingles = 0").select(*docs.columns))
 
