@@ -1,8 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
 Words are the matches of the tokenizer's split pattern. Merges are folded by Spark higher-order functions over the
-byte arrays of distinct words, with the ranks of pairs as one literal map (a perfect hash table in arrays, as Spark scans
-a map's keys). Each distinct word of all documents is folded once:
+byte arrays of distinct words, with the ranks of pairs as one constant map (a perfect hash table in arrays, as Spark scans
+a map's keys; a scalar of the plan, so that its text stays short). Each distinct word of all documents is folded once:
 
 1. documents are dealt to chunks of about ``CHUNK`` bytes by a hash of the row; a chunk sends its distinct words, in the
    order of their hashes, to the buckets of words that ranges of the hash make;
@@ -34,7 +34,7 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lean, lean_group, release, short_plans, small_batches, squeezed, text_bytes
+from .common import lean, lean_group, release, short_plans, small_batches, squeezed, stored, text_bytes
 
 #: Bytes of text of a chunk of documents and of the text that a bucket of words stands for, on average.
 CHUNK, BUCKET = 12 << 20, 16 << 20
@@ -56,7 +56,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap(NamedTuple):
-    """The ranks of pairs of ids as a literal, a perfect hash table: pair key k is in slot (k * mix + shift of its group) % slots.
+    """The ranks of pairs of ids as a constant of the plan, a perfect hash table: pair key k is in slot (k * mix + shift of its group) % slots.
 
     An id takes ``bits`` bits. ``whole`` has the pieces that no merges reach, and their ids.
     """
@@ -89,8 +89,12 @@ def _merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return p
 
 
-def rank_map(ranks: dict[bytes, int]) -> RankMap:
-    """The literal of a vocabulary whose ids are its ranks and that holds every single byte."""
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> RankMap:
+    """The constant of a vocabulary whose ids are its ranks and that holds every single byte.
+
+    It is one row in the shared folder, read as a scalar: as a literal in the expression it would be megabytes in each
+    text that the driver makes of the plan.
+    """
     bits = (max(ranks.values()) + 2).bit_length()
     if bits > 20:
         raise ValueError("ids of more than 20 bits")
@@ -109,9 +113,10 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
         for k, h in zip(members[g], homes, strict=True):
             taken[x := (h + shifts[g]) % slots] = 1
             table[x] = (k << bits) + pairs[k]
-    literal = json.dumps({"single": [ranks[bytes([i])] for i in range(256)], "shift": shifts, "pair": table})
     whole = {b.decode("latin-1"): r for b, r in ranks.items() if len(b) > 1 and len(_merged(b, ranks)) > 1}
-    return RankMap(F.from_json(F.lit(literal), "single array<bigint>, shift array<bigint>, pair array<bigint>"), bits, groups, slots, whole)
+    row = pa.table({"single": [[ranks[bytes([i])] for i in range(256)]], "shift": [shifts], "pair": [table]})
+    constant = stored(spark.createDataFrame(row), "bpe-ranks").select(F.struct("single", "shift", "pair"))
+    return RankMap(constant.scalar(), bits, groups, slots, whole)
 
 
 def _let(value: Column, body) -> Column:
@@ -119,7 +124,7 @@ def _let(value: Column, body) -> Column:
 
 
 def fold(words: Column, ranks: RankMap) -> Column:
-    """Ids of each word of an array of strings. The literal is bound once, so that a plan holds one copy of it."""
+    """Ids of each word of an array of strings. The constant is bound once."""
     return _let(ranks.table, lambda table: F.transform(words, lambda w: _fold_one(w, table, ranks)))
 
 
@@ -315,7 +320,8 @@ def _large(texts: pa.ChunkedArray) -> pa.Array:
 def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], make: Callable, more: str) -> DataFrame:
     """``keep`` columns, and ``more`` columns that ``make`` makes of the ids of some documents (offsets, packed ids)."""
     spark = docs.sparkSession
-    literal, shared = rank_map(ranks), spark.sparkContext.broadcast(ranks)  # a vocabulary, a parameter
+    literal, shared = rank_map(spark, ranks), spark.sparkContext.broadcast(ranks)  # a vocabulary, a parameter
+    release()
     narrow = max(ranks.values()) < 1 << 16
     small_batches(spark)
     short_plans(spark)
@@ -408,7 +414,8 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
     more_names = [x.split()[0] for x in more.split(", ")]
     words = dealt.groupBy("_chunk").applyInArrow(lean_group(sent), "bucket long, chunk long, words binary")
     folds = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean_group(distinct), "bucket long, words array<string>, given binary, chunk long, refs binary")
-    folds = folds.select("bucket", fold(F.col("words"), literal).alias("words"), "given", "chunk", "refs")
+    folds = folds.withColumn("_ranks", literal.table)  # functions of higher order take no subquery themselves
+    folds = folds.select("bucket", fold(F.col("words"), literal._replace(table=F.col("_ranks"))).alias("words"), "given", "chunk", "refs")
     ids = folds.mapInArrow(lean(back), "_chunk long, bucket long, ids binary")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
