@@ -137,6 +137,8 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         if tuple(seen) == n:
             break
         n = tuple(seen)
+    else:
+        raise RuntimeError(f"components of {label} did not settle in {max_rounds} rounds")
     out = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return out.union(e.select(F.col("b"), F.col("b")).distinct())
 
