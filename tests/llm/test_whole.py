@@ -1,5 +1,6 @@
 """Operators do the whole job where tables are large, texts long or ids null or repeated."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -63,6 +64,28 @@ def test_warc_long_url_and_damage(spark, tmp_path):
         warc.read(spark, f"file://{tmp_path}/cut").collect()
 
 
+def test_warc_repeated_and_null_ids_and_large_pages(spark, tmp_path, monkeypatch):
+    """The rows of op6 with ids that repeat or are null, and pages beyond the bound of the common files."""
+    monkeypatch.setattr(warc, "LARGE", 5000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rows = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (5, "R"), (5, "R"), (None, "A"), (None, "N"), (None, "N"), (7, None), (8, ""), *((20 + i, "é" * 4000 + str(i % 5)) for i in range(9))]
+    pq.write_table(pa.table({"page_id": pa.array([i for i, _ in rows], pa.int64()), "url": ["http://h/"] * len(rows), "html": pa.array([h for _, h in rows], pa.string())}), f"{tmp_path}/pages.parquet")
+    got = warc.op6_warc(spark, str(tmp_path)).collect()
+    first = {}
+    for i, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = []
+    for i, h in rows:
+        body, of = (h or "").encode(), first.get(h or "")
+        later = of is not None and i != of
+        want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if later else "response", of if later else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(warc.records(empty), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_null_ids(spark):
     """Null ids, alone and as exact and near copies, through the Jaccard join, its pipeline stage and the mix."""
     rng = random.Random(8)

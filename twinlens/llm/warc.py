@@ -11,8 +11,10 @@ keeps the candidates that are reachable; a version line inside a payload is neve
 integers a candidate, meet in one task; the reader's limit on a file's size bounds them. Jumps double, so n candidates
 take about log2 n rounds.
 
-Null html is the empty payload. Ids are expected to be distinct; repeated ids make records each. Extra columns are not
-written. An empty table gives no records. Line ends in a url are percent-encoded in its header.
+Null html is the empty payload. Rows with repeated ids make records each: every row of a payload's smallest id is a
+response, and a row revisits by its own payload only. Null ids are larger than all others; where a payload has null ids
+alone, each is a response. Extra columns are not written. An empty table gives no records. Line ends in a url are
+percent-encoded in its header.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .common import bare, salted_join, scratch_path, stored
 
 _MAGIC = b"WARC/1.1\r\n"
 _VERSION, _LENGTH = re.compile(re.escape(_MAGIC)), re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
-#: Records of a file (so that a file stays far below the 2 GB that the reader takes), and bytes of a reading task's stretch.
-FILE_RECORDS, STRETCH = 2048, 4 << 20
+#: Records of a file, bytes of a page that goes into the files of large ones, bytes that such a file is to hold (the
+#: reader takes 2 GB), and bytes of a reading task's stretch.
+FILE_RECORDS, LARGE, FILE_BYTES, STRETCH = 2048, 512 << 10, 512 << 20, 4 << 20
 #: The alphabet of RFC 4648 base32.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -52,15 +55,15 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32(F.sha1("payload"))})
     large = stored(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"), "warc-digests")
-    groups = large.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    groups = large.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").drop("_n")
     members = salted_join(large.select("page_id", "payload_digest"), groups, "payload_digest", 16, "inner", "page_id")
-    later = members.where("page_id > _first").select("page_id", F.col("_first").alias("refers_to")).distinct()
-    out = rows.join(later, "page_id", "left")
+    later = members.where("page_id is null or page_id > _first").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("_first").alias("refers_to")).distinct()
+    out = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_id", "_digest")
     return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Write ``records`` as WARC files under ``path``."""
+    """Write ``records`` as WARC files under ``path``. Large ones go into files of their own, so that no file outgrows the reader."""
     first = F.col("record_type") == "response"
     length = F.when(first, F.col("payload_bytes")).otherwise(0)
     refers = F.when(first, "").otherwise(F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\n")))
@@ -71,8 +74,18 @@ def write(rows: DataFrame, path: str) -> None:
         F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
     )
     body = F.when(first, F.decode(F.col("payload"), "UTF-8")).otherwise("")
-    lines = rows.select(F.concat(head, body).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    # what a record takes before compression; its head without the url stays below the constant
+    size = F.octet_length(body) + F.octet_length(url) + F.lit(512)
+    seen = Observation("warc")
+
+    def put(some: DataFrame, most: int) -> None:
+        lines = some.select(F.concat(head, body).alias("value"))
+        lines.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
+
+    put(rows.observe(seen, F.max(size).alias("most")).where(size < LARGE), FILE_RECORDS)
+    most = seen.get.get("most") or 0
+    if most >= LARGE:
+        put(rows.where(size >= LARGE), max(1, FILE_BYTES // most))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -158,9 +171,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the full payload's figures are checked where the payload is here, and else read from the revisit's header
     whole = field("WARC-Type") == "response"
     return read(spark, path, digest=True).select(
-        F.regexp_extract("head", r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).cast("long").alias("page_id"),
-        F.when(whole, F.col("size")).otherwise(field("X-Payload-Length").cast("long")).cast("long").alias("payload_bytes"),
+        F.regexp_extract("head", r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
+        F.when(whole, F.col("size")).otherwise(field("X-Payload-Length").try_cast("long")).cast("long").alias("payload_bytes"),
         F.when(whole, base32(F.lower(F.hex("sha1")))).otherwise(F.substring(field("WARC-Payload-Digest"), 6, 32)).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
-        F.when(~whole, F.regexp_extract("head", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1).cast("long")).alias("refers_to"),
+        F.when(~whole, F.regexp_extract("head", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1).try_cast("long")).alias("refers_to"),
     )
