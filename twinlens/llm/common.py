@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="twinlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
