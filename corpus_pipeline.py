@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinlens.llm import byte_bpe, jaccard_join, language_id, mixing, suffix_dedup
 from twinlens.llm.common import row_key, stored
 
 
+#: The columns that stages work by; all others are carried.
+OWN = ("doc_id", "text", "lang", "source")
+
+
+def carrying(stage: Callable) -> Callable:
+    """``stage`` with all columns but its own renamed while it works, so that no name of theirs meets one that it makes."""
+
+    @functools.wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = [c if c in OWN else f"_carried_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*inner), sf_dir).select(*inner).toDF(*docs.columns)
+
+    return run_
+
+
+@carrying
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     model = language_id.train(docs.where(~language_id.held_out()))
     return language_id.predict(docs, model, tuple(docs.columns)).where("lang_pred <> 'und'").select(*docs.columns)
 
 
+@carrying
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that with the smallest id stays; of null ids alone, one stays."""
     found = stored(jaccard_join.keyed(docs, shingle=5, percent=80), "near-found")
@@ -27,11 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.unionByName(once.select(*docs.columns)).unionByName(blank.where("n_shingles = 0").select(*docs.columns))
 
 
+@carrying
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that start in a document with a smaller id are cut out; a document may become empty."""
     return suffix_dedup.cut(docs)
 
 
+@carrying
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: rows are left out or repeated."""
     return mixing.mix(docs)
