@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from twinlens.llm import byte_bpe, embedding_dedup, jaccard_join, mixing, suffix_dedup, warc
@@ -132,11 +133,13 @@ def test_pipeline_rows(spark, tmp_path):
     rng.shuffle(rows)
     pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[2] for r in rows], pa.string()), "lang": pa.array([r[1] for r in rows], pa.string()), "source": [("a", "b", None)[i % 3] for i in range(len(rows))], "n_chars": [len(r[2] or "") for r in rows]}), f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clash = ["score", "lang_pred", "_row", "n_shingles", "key", "size", "component_id", "copy", "ids", "taken"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("n_chars").cast("string")) for c in clash})
     kept = {}
     now, want = docs, {i: t for i, _, t in rows}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), docs.schema)
-        assert now.columns == docs.columns
+        assert now.columns == docs.columns and all(r[c].startswith(c) for r in now.collect() for c in clash)
         kept[name] = [(r["doc_id"], r["text"]) for r in now.collect()]
     # no text, no letter
     want = {i: t for i, t in want.items() if i not in (104, 105, 106)}
@@ -162,6 +165,7 @@ def test_pipeline_rows(spark, tmp_path):
     assert set(kept["mixing"]) <= set(cut.items()) and len(kept["mixing"]) > 20
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pq.write_table(docs.toArrow(), f"{tmp_path}/documents.parquet")
     got = [(r["doc_id"], bytes(r["decoded"]), np.frombuffer(r["ids"], "<u4").tolist(), r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     ids = lambda t: plain.encode_ordinary(t)
     assert sorted(got, key=str) == sorted(((i, t.encode(), ids(t), len(ids(t))) for i, t in kept["mixing"]), key=str)
