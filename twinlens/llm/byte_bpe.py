@@ -4,7 +4,7 @@ Words are the matches of the tokenizer's split pattern. Merges are folded by Spa
 byte arrays of distinct words, with the ranks of pairs as one constant map (a perfect hash table in arrays, as Spark scans
 a map's keys; a scalar of the plan, so that its text stays short). Each distinct word of all documents is folded once:
 
-1. documents are dealt to chunks of about ``CHUNK`` bytes by a hash of the row; a chunk sends its distinct words, in the
+1. documents are dealt to chunks of about ``chunk`` bytes by a hash of the row; a chunk sends its distinct words, in the
    order of their hashes, to the buckets of words that ranges of the hash make;
 2. a bucket folds its distinct words and sends each chunk the ids of that chunk's words, in the order in which they came;
 3. the chunk, whose documents stay where they were dealt, takes the ids of its words, of its units (parts of texts whose
@@ -317,7 +317,7 @@ def _large(texts: pa.ChunkedArray) -> pa.Array:
     return pa.array([opened(x.as_py()) if x.is_valid else b"" for x in texts], pa.large_binary()).cast(pa.large_string())
 
 
-def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], make: Callable, more: str) -> DataFrame:
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], make: Callable, more: str, chunk: int = CHUNK) -> DataFrame:
     """``keep`` columns, and ``more`` columns that ``make`` makes of the ids of some documents (offsets, packed ids)."""
     spark = docs.sparkSession
     literal, shared = rank_map(spark, ranks), spark.sparkContext.broadcast(ranks)  # a vocabulary, a parameter
@@ -326,7 +326,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
     small_batches(spark)
     short_plans(spark)
     total = text_bytes(docs, text)
-    chunks, buckets = (max(2 * spark.sparkContext.defaultParallelism, -(-total // each)) for each in (CHUNK, BUCKET))
+    chunks, buckets = (max(2 * spark.sparkContext.defaultParallelism, -(-total // each)) for each in (chunk, BUCKET))
     names = list(keep)
     kept = docs.select(*names, F.col(text).alias("_text"))
     kinds = "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1])
@@ -419,6 +419,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
     ids = folds.mapInArrow(lean(back), "_chunk long, bucket long, ids binary")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         out = assembled(left, right)
         release()
         return out
@@ -487,10 +488,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) ->
     return kept.mapInArrow(lean(run), "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1]) + more)
 
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """``decode`` of ``encode``, both in one Python step, so that ids travel once."""
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``decode`` of ``encode``, both in one Python step, so that ids travel once. Smaller chunks take less memory and send more words."""
     make, more = _made(docs.sparkSession.sparkContext.broadcast(ranks), digest)
-    return _coded(docs, ranks, pattern, "text", keep, make, more)
+    return _coded(docs, ranks, pattern, "text", keep, make, more, chunk)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

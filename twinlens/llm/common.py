@@ -20,7 +20,7 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="twinlens-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -70,9 +70,10 @@ def release() -> None:
 
 
 def lean(fn: Callable) -> Callable:
-    """``fn`` over batches, with ``release`` at its end."""
+    """``fn`` over batches, with ``release`` at its end; Arrow takes its memory from the system's allocator, which keeps less."""
 
     def run(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from fn(batches)
         release()
 
@@ -81,6 +82,7 @@ def lean(fn: Callable) -> Callable:
 
 def lean_group(fn: Callable) -> Callable:
     def run(table):
+        pa.set_memory_pool(pa.system_memory_pool())
         out = fn(table)
         release()
         return out

@@ -315,7 +315,7 @@ def clusters_to_links(docs: DataFrame, member: DataFrame, shingle: int, percent:
         ids = own["rep"].to_numpy()
         return pd.DataFrame({"a": ids[root], "b": ids})[root != np.arange(len(ids))]
 
-    return rows.groupBy("cluster", "lo", "hi").applyInPandas(links, "a long, b long")
+    return rows.groupBy("cluster", "lo", "hi").applyInPandas(lean_group(links), "a long, b long")
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
