@@ -4,7 +4,7 @@ Words are the matches of the tokenizer's split pattern. Merges are folded by Spa
 byte arrays of distinct words, with the ranks of pairs as one constant map (a perfect hash table in arrays, as Spark scans
 a map's keys; a scalar of the plan, so that its text stays short). Each distinct word of all documents is folded once:
 
-1. documents are dealt to chunks of about ``chunk`` bytes by a hash of the row; a chunk sends its distinct words, in the
+1. documents are dealt to chunks of about ``CHUNK`` bytes by a hash of the row; a chunk sends its distinct words, in the
    order of their hashes, to the buckets of words that ranges of the hash make;
 2. a bucket folds its distinct words and sends each chunk the ids of that chunk's words, in the order in which they came;
 3. the chunk, whose documents stay where they were dealt, takes the ids of its words, of its units (parts of texts whose
@@ -38,6 +38,8 @@ from .common import lean, lean_group, release, short_plans, small_batches, squee
 
 #: Bytes of text of a chunk of documents and of the text that a bucket of words stands for, on average.
 CHUNK, BUCKET = 12 << 20, 16 << 20
+#: Both, where executors hold the memory of other work.
+SMALL = 4 << 20
 #: Bytes of the longest word that is folded; words of a row.
 FOLDED, ROW_WORDS = 1 << 10, 1 << 10
 #: Units that are put together at once.
@@ -317,7 +319,7 @@ def _large(texts: pa.ChunkedArray) -> pa.Array:
     return pa.array([opened(x.as_py()) if x.is_valid else b"" for x in texts], pa.large_binary()).cast(pa.large_string())
 
 
-def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], make: Callable, more: str, chunk: int = CHUNK) -> DataFrame:
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: tuple[str, ...], make: Callable, more: str, small: bool = False) -> DataFrame:
     """``keep`` columns, and ``more`` columns that ``make`` makes of the ids of some documents (offsets, packed ids)."""
     spark = docs.sparkSession
     literal, shared = rank_map(spark, ranks), spark.sparkContext.broadcast(ranks)  # a vocabulary, a parameter
@@ -326,7 +328,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
     small_batches(spark)
     short_plans(spark)
     total = text_bytes(docs, text)
-    chunks, buckets = (max(2 * spark.sparkContext.defaultParallelism, -(-total // each)) for each in (chunk, BUCKET))
+    chunks, buckets = (max(2 * spark.sparkContext.defaultParallelism, -(-total // each)) for each in ((SMALL, SMALL) if small else (CHUNK, BUCKET)))
     names = list(keep)
     kept = docs.select(*names, F.col(text).alias("_text"))
     kinds = "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1])
@@ -362,6 +364,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
             "bucket": pa.array([table["bucket"][0].as_py()] * (r + g + c), pa.int64()),
             "words": pa.array([*rows, *[None] * (g + c)], pa.list_(pa.string())),
             "given": pa.array([*[None] * r, *given, *[None] * c], pa.binary()),
+            "row": pa.array(range(r + g + c), pa.int64()),
             "chunk": pa.array([*[None] * (r + g), *table["chunk"].to_pylist()], pa.int64()),
             "refs": pa.array([*[None] * (r + g), *[refs[at[i] : at[i + 1]].tobytes() for i in range(c)]], pa.binary()),
         })
@@ -413,9 +416,12 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ke
 
     more_names = [x.split()[0] for x in more.split(", ")]
     words = dealt.groupBy("_chunk").applyInArrow(lean_group(sent), "bucket long, chunk long, words binary")
-    folds = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean_group(distinct), "bucket long, words array<string>, given binary, chunk long, refs binary")
+    folds = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean_group(distinct), "bucket long, words array<string>, given binary, row long, chunk long, refs binary")
     folds = folds.withColumn("_ranks", literal.table)  # functions of higher order take no subquery themselves
-    folds = folds.select("bucket", fold(F.col("words"), literal._replace(table=F.col("_ranks"))).alias("words"), "given", "chunk", "refs")
+    folds = folds.select("bucket", fold(F.col("words"), literal._replace(table=F.col("_ranks"))).alias("words"), "given", "row", "chunk", "refs")
+    if small:
+        folds = folds.repartition(buckets, "bucket").sortWithinPartitions("bucket", "row")
+    folds = folds.drop("row")
     ids = folds.mapInArrow(lean(back), "_chunk long, bucket long, ids binary")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -488,10 +494,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digest: bool = False) ->
     return kept.mapInArrow(lean(run), "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1]) + more)
 
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """``decode`` of ``encode``, both in one Python step, so that ids travel once. Smaller chunks take less memory and send more words."""
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False, small: bool = False) -> DataFrame:
+    """``decode`` of ``encode``, both in one Python step, so that ids travel once.
+
+    ``small``: less memory for more shuffle. Chunks and buckets are smaller, and an exchange after the fold leaves no
+    task with two Python workers. The rows are the same.
+    """
     make, more = _made(docs.sparkSession.sparkContext.broadcast(ranks), digest)
-    return _coded(docs, ranks, pattern, "text", keep, make, more, chunk)
+    return _coded(docs, ranks, pattern, "text", keep, make, more, small)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
