@@ -62,12 +62,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of each mixed document, and the bytes decoded from them.
 
-    Chunks are smaller than the operator's own, as executors still hold what the stages before have left there.
+    In small pieces, as executors still hold what the stages before have left there.
     """
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, ("doc_id", "lang", "source"), chunk=4 << 20).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, ("doc_id", "lang", "source"), small=True).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [
