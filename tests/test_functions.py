@@ -92,3 +92,29 @@ def test_long_token_edits(spark):
 def test_one_rule_for_white_space(spark):
     t = " a b　c d\x1ce\x85f\n"
     assert one(spark, T.words(F.lit(t))) == t.split() == LexicalTokenizer().encode(t)
+
+
+def test_metrics_config_and_merge():
+    """Metrics that callers add, directional options without classes, and whose metadata a merged report has."""
+    from twinlens.config import StudyConfig
+    from twinlens.errors import ConfigError
+    from twinlens.operators import bootstrap, validate
+    from twinlens.report import Report
+
+    with pytest.raises(ConfigError, match="unknown"):
+        validate.check_metrics(["own"], "free_form", False)
+    bootstrap.METRICS["own"] = bootstrap.flip_metric
+    try:
+        validate.check_metrics(["own", "flip_rate"], "free_form", False)
+    finally:
+        del bootstrap.METRICS["own"]
+    with pytest.raises(ConfigError, match="needs classification"):
+        validate.check_metrics(["jsd"], "free_form", False)
+    base = {"data": "d.csv", "key": "id", "perturb_column": "t", "target_perturbation": "m:f", "prompt_template": "{t}", "target_model": {"type": "hash"}, "paraphrase_model": {"type": "hash"}, "metrics": ["mi"]}
+    way = {"direction_column": "x", "outcome_class_column": "x", "alternative": "less"}
+    assert StudyConfig(**base, classes=["A"], **way).direction_column == "x"
+    for bad in ({"extract_label": "m:g", **way}, {"classes": ["A"], "alternative": "less"}):
+        with pytest.raises(ValueError, match="directional|together"):
+            StudyConfig(**base, **bad)
+    merged = Report([], {"n": 1}).merge(Report([], {"n": 2, "only": 3}))
+    assert merged.metadata == {"n": 1, "merged_from": [{"n": 1}, {"n": 2, "only": 3}]}

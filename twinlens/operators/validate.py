@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import ConfigError
+from .bootstrap import METRICS
 
 RESERVED = ["sample_id", "original", "target_perturbed", "baseline_perturbed", "target_edit_pct", "baseline_edit_pct", "baseline_refused", "retries_used"] + [f"{k}_{a}" for k in ("probs", "label", "generation") for a in ("orig", "target", "base")]
 SHOWN = 10
@@ -85,14 +86,15 @@ def token_collisions(first: dict[str, int | None]) -> list[list[str]]:
     return [g for t, g in groups.items() if len(g) > 1 or t is None]
 
 
-LABEL_METRICS, SCORE_METRICS = ("flip_rate", "mi", "phi"), ("jsd", "kl")
+SCORE_METRICS = ("jsd", "kl")
 
 
 def check_metrics(metrics: list[str], mode: str, directional: bool) -> None:
+    labels = tuple(METRICS)  # with those that callers have added
     for m in metrics:
-        if mode == "free_form" and m not in LABEL_METRICS:
-            raise ConfigError(f"metric {m!r} needs classification; free-form studies have {LABEL_METRICS}")
+        if mode == "free_form" and m in (*SCORE_METRICS, "regression"):
+            raise ConfigError(f"metric {m!r} needs classification; free-form studies have {labels}")
         if m == "regression" and not directional:
             raise ConfigError("metric 'regression' needs the directional options")
-        if m not in (*LABEL_METRICS, *SCORE_METRICS, "regression"):
+        if m not in (*labels, *SCORE_METRICS, "regression"):
             raise ConfigError(f"unknown metric {m!r}")

@@ -95,7 +95,7 @@ class Report:
         differ = sorted(k for k in self.metadata.keys() & other.metadata.keys() - {"merged_from"} if self.metadata[k] != other.metadata[k])
         if differ:
             log.warning("merged reports differ in %s", differ)
-        return Report([*self.results, *other.results], {**other.metadata, **self.metadata, "merged_from": leaves})
+        return Report([*self.results, *other.results], {**self.metadata, "merged_from": leaves})
 
     def __repr__(self) -> str:
         return pd.DataFrame(self.rows()).to_string(index=False) if self.results else "Report without results"
