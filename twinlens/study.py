@@ -90,6 +90,9 @@ class Study:
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         root = self.cache_dir or self.spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            master = self.spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ConfigError("cache_dir or spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="twinlens-study-")
             self.spark.conf.set("spark.checkpoint.dir", root)
         path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
