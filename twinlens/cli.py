@@ -7,6 +7,7 @@ import os
 import sys
 
 from pydantic import ValidationError
+from pyspark.cloudpickle import register_pickle_by_value
 
 from . import set_log_level
 from .config import StudyConfig, model_factory, resolve
@@ -55,6 +56,15 @@ def _functions(c: StudyConfig) -> None:
         model_factory(m)
 
 
+def _ship(c: StudyConfig) -> None:
+    """Modules beside the study are sent with its functions, as executors do not have them."""
+    here = os.path.join(os.path.realpath(os.getcwd()), "")
+    for spec in (c.target_perturbation, c.extract_label, c.target_model.type, c.paraphrase_model.type):
+        module = sys.modules.get((spec or "").partition(":")[0])
+        if module and os.path.realpath(getattr(module, "__file__", None) or "").startswith(here):
+            register_pickle_by_value(module)
+
+
 def validate(path: str, imports: bool = True) -> None:
     c = _load(path)
     if imports:
@@ -85,11 +95,12 @@ def run(path: str, output: str, cache_dir: str | None = None, dry_run: bool = Fa
     _functions(c)
     if dry_run:
         return
+    _ship(c)
     spark = spark or SparkSession.builder.appName("twinlens").getOrCreate()
     study = Study(
         read_table(spark, c.data), key=c.key, perturb_column=c.perturb_column, target_perturbation=resolve(c.target_perturbation), prompt_template=c.prompt_template,
         target_model=model_factory(c.target_model), paraphrase_model=model_factory(c.paraphrase_model), classes=c.classes, extract_label=resolve(c.extract_label) if c.extract_label else None,
-        direction_column=c.direction_column, outcome_class_column=c.outcome_class_column, alternative=c.alternative, tolerance=c.tolerance, max_retries=c.max_retries, seed=c.seed, n_bootstrap=c.n_bootstrap, cache_dir=cache_dir or c.cache_dir,
+        direction_column=c.direction_column, outcome_class_column=c.outcome_class_column, alternative=c.alternative, tolerance=c.tolerance, max_retries=c.max_retries, seed=c.seed, n_bootstrap=c.n_bootstrap, bootstrap_engine=c.bootstrap_engine, cache_dir=cache_dir or c.cache_dir,
     )
     report = study.run_all(c.metrics, c.regression_model)
     print(report)

@@ -2,9 +2,10 @@
 
 Every metric is a function of the counts of (original, target, baseline) label triples, so a sample is one small cell
 code in row order. Resamples are dealt over the cluster; each starts from a snapshot of the one seeded index stream, so
-results do not depend on how they are dealt, and one pass serves all metrics. Codes are broadcast up to
-``MAX_BROADCAST_ROWS``; beyond that resamples draw the cells' counts from the multinomial distribution, whose input is
-the bounded contingency table.
+results do not depend on how they are dealt, and one pass serves all metrics. This engine, "exact", broadcasts the
+codes, so it refuses more than ``MAX_BROADCAST_ROWS`` rows. The engine "multinomial" draws the cells' counts from the
+bounded contingency table, at any size, by another stream of the same distribution; it is used only where it is asked
+for, and every result names its engine.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..errors import ConfigError, DegenerateMetricError, TwinlensError
 from .tests import TestResult
 
 MAX_BROADCAST_ROWS, UNSTABLE_SHARE = 5_000_000, 0.05
+ENGINES = ("exact", "multinomial")
 
 
 def flip_metric(table: np.ndarray) -> float:
@@ -68,8 +70,10 @@ def _difference(metric: Callable, counts: np.ndarray, k: int) -> float:
     return metric(target) - metric(baseline)
 
 
-def resamples(df: DataFrame, metrics: list[str], order: str, columns: tuple[str, str, str], n_bootstrap: int, seed: int, engine: str = "auto", chunk: int = 50) -> tuple[DataFrame, list[str], np.ndarray]:
+def resamples(df: DataFrame, metrics: list[str], order: str, columns: tuple[str, str, str], n_bootstrap: int, seed: int, engine: str = "exact", chunk: int = 50) -> tuple[DataFrame, list[str], np.ndarray]:
     """(resample, metric, diff) with a null diff where the metric is degenerate; the labels; the observed cell counts."""
+    if engine not in ENGINES:
+        raise ConfigError(f"unknown bootstrap engine {engine!r}: use one of {ENGINES}")
     spark = df.sparkSession
     rows = df.select(F.col(order).alias("_pos"), *(F.col(c).cast("string").alias(f"_l{i}") for i, c in enumerate(columns)))
     cells = rows.groupBy("_l0", "_l1", "_l2").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the labels
@@ -81,8 +85,6 @@ def resamples(df: DataFrame, metrics: list[str], order: str, columns: tuple[str,
     n = int(counts.sum())
     functions = {m: METRICS[m] for m in metrics}
     starts: list[tuple] = []
-    if engine == "auto":
-        engine = "exact" if n <= MAX_BROADCAST_ROWS else "multinomial"
     if engine == "exact":
         if n > MAX_BROADCAST_ROWS:
             raise ConfigError(f"the exact engine broadcasts at most {MAX_BROADCAST_ROWS} rows; use 'multinomial'")
@@ -120,7 +122,7 @@ def resamples(df: DataFrame, metrics: list[str], order: str, columns: tuple[str,
     return ids.mapInPandas(run, "resample int, metric string, diff double"), labels, counts
 
 
-def bootstrap_diff(df: DataFrame, metrics: list[str], order: str = "row_pos", columns: tuple[str, str, str] = ("label_orig", "label_target", "label_base"), n_bootstrap: int = 1000, seed: int = 42, engine: str = "auto") -> list[TestResult]:
+def bootstrap_diff(df: DataFrame, metrics: list[str], order: str = "row_pos", columns: tuple[str, str, str] = ("label_orig", "label_target", "label_base"), n_bootstrap: int = 1000, seed: int = 42, engine: str = "exact") -> list[TestResult]:
     """Tests of metric(original, target) - metric(original, baseline), one for each of ``metrics``."""
     diffs, labels, counts = resamples(df, list(dict.fromkeys(metrics)), order, columns, n_bootstrap, seed, engine)
     n, k, out = int(counts.sum()), len(labels), {}
@@ -129,10 +131,10 @@ def bootstrap_diff(df: DataFrame, metrics: list[str], order: str = "row_pos", co
         try:
             seen = _difference(METRICS[m], counts, k)
         except DegenerateMetricError as e:
-            out[m] = TestResult(m, "paired_bootstrap", None, 1.0, "two_sided", n, 1.0, extra={"degenerate": True, "reason": f"observed_metric_undefined: {e}"})
+            out[m] = TestResult(m, "paired_bootstrap", None, 1.0, "two_sided", n, 1.0, extra={"engine": engine, "degenerate": True, "reason": f"observed_metric_undefined: {e}"})
             continue
         r = stats[m]
-        extra = {"n_dropped_resamples": r["dropped"], "bootstrap_unstable": r["dropped"] > UNSTABLE_SHARE * n_bootstrap}
+        extra = {"engine": engine, "n_dropped_resamples": r["dropped"], "bootstrap_unstable": r["dropped"] > UNSTABLE_SHARE * n_bootstrap}
         if not r["kept"]:
             out[m] = TestResult(m, "paired_bootstrap", seen, 1.0, "two_sided", n, 1.0, seen, seen, "percentile", extra | {"degenerate": True, "reason": "all_resamples_dropped"})
         elif r["flat"]:

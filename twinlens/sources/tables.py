@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..errors import ConfigError
@@ -21,7 +22,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def as_frame(spark: SparkSession, data) -> DataFrame:
     """A Spark DataFrame as it is; a pandas one converted, its index becoming ``sample_key`` if it has a name or is not the default."""
-    return data if isinstance(data, DataFrame) else spark.createDataFrame(data)
+    if isinstance(data, DataFrame):
+        return data
+    index = data.index
+    if index.name is None and isinstance(index, pd.RangeIndex) and index.start == 0 and index.step == 1:
+        return spark.createDataFrame(data)
+    if "sample_key" in data.columns:
+        raise ConfigError("the index would become the column 'sample_key', which the table has already")
+    return spark.createDataFrame(data.reset_index(names="sample_key"))
 
 
 def load_yaml(path: str) -> dict:

@@ -21,12 +21,12 @@ from .models.base import ModelBackend, Tokenizer
 from .models.lexical import LexicalTokenizer
 from .operators import aggregates, paraphrase as P, tests, validate as V
 from .operators.arms import ARMS
-from .operators.bootstrap import METRICS, bootstrap_diff
+from .operators.bootstrap import ENGINES, METRICS, bootstrap_diff
 from .report import Report
 from .sources.tables import KeyedCache, with_position
 
 log = logging.getLogger("twinlens")
-SHOWN_FAILURES, LOGGED = 3, 10
+SHOWN_FAILURES, LOGGED, LISTED = 3, 10, 10_000
 
 
 def guarded(fn: Callable, c: Column, kind: str = "string") -> Column:
@@ -56,8 +56,10 @@ def native(fn: Callable[[Column], Column]) -> Callable:
 class Study:
     """One study over ``data``: ``key`` names the unique id column, ``target_model`` and ``paraphrase_model`` are factories."""
 
-    def __init__(self, data: DataFrame, *, key: str, perturb_column: str, target_perturbation: Callable, prompt_template: str, target_model: Callable[[], ModelBackend] | None = None, paraphrase_model: Callable[[], ModelBackend] | None = None, tokenizer: Tokenizer | None = None, classes: list[str] | None = None, extract_label: Callable | None = None, direction_column: str | None = None, outcome_class_column: str | None = None, alternative: str | None = None, tolerance: float = 0.5, max_retries: int = 50, seed: int = 42, n_bootstrap: int = 1000, cache_dir: str | None = None):
+    def __init__(self, data: DataFrame, *, key: str, perturb_column: str, target_perturbation: Callable, prompt_template: str, target_model: Callable[[], ModelBackend] | None = None, paraphrase_model: Callable[[], ModelBackend] | None = None, tokenizer: Tokenizer | None = None, classes: list[str] | None = None, extract_label: Callable | None = None, direction_column: str | None = None, outcome_class_column: str | None = None, alternative: str | None = None, tolerance: float = 0.5, max_retries: int = 50, seed: int = 42, n_bootstrap: int = 1000, bootstrap_engine: str = "exact", cache_dir: str | None = None):
         self.mode = V.check_mode(classes, extract_label)
+        if bootstrap_engine not in ENGINES:
+            raise ConfigError(f"unknown bootstrap engine {bootstrap_engine!r}: use one of {ENGINES}")
         V.check_columns(data, perturb_column)
         if key not in data.columns:
             raise ConfigError(f"id column {key!r} is not among {data.columns}")
@@ -69,7 +71,7 @@ class Study:
         self.target_model, self.paraphrase_model, self.tokenizer = target_model, paraphrase_model, tokenizer or LexicalTokenizer()
         self.classes, self.extract_label = classes, extract_label
         self.direction_column, self.outcome_class_column, self.alternative = direction_column, outcome_class_column, alternative
-        self.tolerance, self.max_retries, self.seed, self.n_bootstrap, self.cache_dir = tolerance, max_retries, seed, n_bootstrap, cache_dir
+        self.tolerance, self.max_retries, self.seed, self.n_bootstrap, self.bootstrap_engine, self.cache_dir = tolerance, max_retries, seed, n_bootstrap, bootstrap_engine, cache_dir
         self.cache_ids = {"tokenizer": self.tokenizer.cache_id, "target_model": self._identity(target_model), "paraphrase_model": self._identity(paraphrase_model)}
         self.loaded_ids: dict | None = None
         self.allow_cache_id_mismatch = False
@@ -113,6 +115,11 @@ class Study:
     def baselines_df(self) -> DataFrame | None:
         return self._baselines
 
+    @property
+    def refused_df(self) -> DataFrame | None:
+        """Ids of all samples with a refused baseline; the report lists the ``LISTED`` smallest and says if there are more."""
+        return self._baselines.where("baseline_refused").select("sample_id") if self._baselines is not None else None
+
     @property
     def inference_df(self) -> DataFrame | None:
         return self._inference
@@ -235,7 +242,7 @@ class Study:
         labels = [m for m in dict.fromkeys(metrics) if m in METRICS]
         if labels:
             placed = with_position(df.select("sample_id", "label_orig", "label_target", "label_base"), "sample_id")
-            found |= {r.metric: r for r in bootstrap_diff(placed, labels, n_bootstrap=self.n_bootstrap, seed=self.seed)}
+            found |= {r.metric: r for r in bootstrap_diff(placed, labels, n_bootstrap=self.n_bootstrap, seed=self.seed, engine=self.bootstrap_engine)}
         if "regression" in metrics:
             found["regression"] = self._regression(df, regression_model, n)
         return Report([found[m] for m in metrics], self._metadata(n, clipped))
@@ -255,9 +262,9 @@ class Study:
 
     def _metadata(self, n: int, clipped: int) -> dict:
         stats = aggregates.edit_stats(self._baselines, self.tolerance, self.max_retries).first().asDict()
-        refused = [r[0] for r in self._baselines.where("baseline_refused").select("sample_id").limit(10_000).collect()]
+        refused = [r[0] for r in self.refused_df.orderBy("sample_id").limit(LISTED).collect()]
         n_input = self.data.count()
-        return {"n_input": n_input, "n_tested": n, "mode": self.mode, "classes": self.classes, "seed": self.seed, "n_bootstrap": self.n_bootstrap, "tolerance": self.tolerance, "max_retries": self.max_retries, "perturb_column": self.perturb_column, "prompt_template": self.template, "cache_ids": self.cache_ids, "drop_counts": dict(self.drop_counts), "refusal_count": stats["refused"], "refusal_rate": stats["refused"] / n_input if n_input else 0.0, "refused_samples": refused, "edit": stats, "n_rows_clipped": clipped, "direction_column": self.direction_column, "outcome_class_column": self.outcome_class_column, "alternative": self.alternative, "version": T.PACKAGE_VERSION}
+        return {"n_input": n_input, "n_tested": n, "mode": self.mode, "classes": self.classes, "seed": self.seed, "n_bootstrap": self.n_bootstrap, "bootstrap_engine": self.bootstrap_engine, "tolerance": self.tolerance, "max_retries": self.max_retries, "perturb_column": self.perturb_column, "prompt_template": self.template, "cache_ids": self.cache_ids, "drop_counts": dict(self.drop_counts), "refusal_count": stats["refused"], "refusal_rate": stats["refused"] / n_input if n_input else 0.0, "refused_samples": refused, "refused_samples_cut": stats["refused"] > LISTED, "edit": stats, "n_rows_clipped": clipped, "direction_column": self.direction_column, "outcome_class_column": self.outcome_class_column, "alternative": self.alternative, "version": T.PACKAGE_VERSION}
 
     def run_all(self, metrics: list[str], regression_model: str = "difference") -> Report:
         self.generate_baselines()
@@ -287,7 +294,7 @@ class Study:
         self._inference = self._write(rows.withColumns({f"label_{s}": F.coalesce(F.col(f"_{s}.value"), F.col(f"label_{s}")) for s in ARMS.values()}).drop(*(f"_{s}" for s in ARMS.values())), "inference")
         return self._inference
 
-    SAVED = ("mode", "key", "perturb_column", "template", "classes", "direction_column", "outcome_class_column", "alternative", "tolerance", "max_retries", "seed", "n_bootstrap", "directional", "drop_counts", "cache_ids")
+    SAVED = ("mode", "key", "perturb_column", "template", "classes", "direction_column", "outcome_class_column", "alternative", "tolerance", "max_retries", "seed", "n_bootstrap", "bootstrap_engine", "directional", "drop_counts", "cache_ids")
 
     def save(self, path: str) -> None:
         """Data, frames, settings and counters, as Parquet and JSON: no functions, no models, no code."""
@@ -300,7 +307,7 @@ class Study:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, *, target_model=None, paraphrase_model=None, target_perturbation=None, extract_label=None, tokenizer=None, allow_cache_id_mismatch: bool = False) -> Study:
-        config = json.loads(spark.read.text(f"{path}/config").first()[0])
+        config = {"bootstrap_engine": "exact"} | json.loads(spark.read.text(f"{path}/config").first()[0])  # not in older studies
         self = cls.__new__(cls)
         for k in cls.SAVED:
             setattr(self, k, config[k])
