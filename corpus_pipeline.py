@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinlens.llm import byte_bpe, jaccard_join, language_id, mixing, suffix_dedup
-from twinlens.llm.common import row_key, stored
+from twinlens.llm.common import SETTLED, row_key, short_plans, stored
 
 
 #: The columns that stages work by; all others are carried.
@@ -20,6 +20,7 @@ def carrying(stage: Callable) -> Callable:
 
     @functools.wraps(stage)
     def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_plans(spark)
         inner = [c if c in OWN else f"_carried_{i}" for i, c in enumerate(docs.columns)]
         return stage(spark, docs.toDF(*inner), sf_dir).select(*inner).toDF(*docs.columns)
 
@@ -36,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @carrying
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that with the smallest id stays; of null ids alone, one stays."""
-    found = stored(jaccard_join.keyed(docs, shingle=5, percent=80), "near-found")
+    found = stored(jaccard_join.keyed(docs, shingle=5, percent=80, settled=SETTLED), "near-found")
     named = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.expr("doc_id = component_id")).alias("first"))
     dropped = stored(named.where("not first").select("doc_id"), "near-dropped")
     out = jaccard_join.without(docs.where("doc_id is not null"), dropped, "doc_id").select(*docs.columns)

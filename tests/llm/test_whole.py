@@ -177,3 +177,38 @@ def test_without_some_ids(spark):
     out = jaccard_join.without(rows, spark.range(0, 3000, 7), "id").collect()
     assert sorted(r["id"] for r in out) == [i for i in range(3000) if i % 7]
     assert jaccard_join.without(rows, spark.range(0), "id").count() == 3000
+
+
+def test_components_of_few_edges_in_one_task(spark):
+    """What one task settles is what the rounds give and brute force finds: chains, stars, loops, copies, nothing."""
+    from twinlens.llm.common import components
+
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(-40, 40)]
+    star = [(1000, i) for i in range(901, 960)]
+    edges = [(5000, 5000), *chain, *star, *star[:5], *((rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(140))]
+    rng.shuffle(edges)
+    low = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in low:
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for settled in (len(edges), 10):  # in one task, too many for it
+        assert sorted(map(tuple, components(frame, "t", settled=settled).collect())) == sorted(low.items())
+    assert components(frame.where("a is null"), "t", settled=10).count() == 0
+
+
+def test_pipeline_near_duplicates_asks_little_of_the_driver(spark):
+    """Jobs of the stage do not grow with rounds over the few links of a chain of near copies; plans' texts are bounded."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 200]), "s") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.conf.unset("spark.sql.maxPlanStringLength")
+    last = lambda: spark.range(1).rdd.count() and max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = last()
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    jobs = last() - before
+    assert [r["doc_id"] for r in kept] == [0]
+    assert jobs < 60, jobs
+    assert int(spark.conf.get("spark.sql.maxPlanStringLength")) <= 1 << 16

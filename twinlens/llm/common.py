@@ -8,10 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Edges (16 bytes each) that one task settles, where it may; more take rounds.
+SETTLED = 1 << 20
 #: A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,14 +117,43 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: st
     return spread.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all edges (a, b) that come: roots are hooked to the smallest root next to them until none has one."""
+    parts = [[c.to_numpy() for c in b.columns[:2]] for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    for k in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(ids[root[k : k + (1 << 16)]])], ["id", "component"])
+
+
+def components(edges: DataFrame, label: str, max_rounds: int = 60, settled: int = 0) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) per id on an edge, component = smallest id reachable.
 
+    Up to ``settled`` edges go to one task, as each round costs the driver some ten exchanges, however small. More take
+    rounds, with the same result.
+
     Alternating large-star and small-star steps. Each step's groups are aggregated before they are joined, so no
     neighbourhood is ever collected; every round is cut with a table in the shared folder. An empty ``edges`` gives
     an empty result; duplicate edges and loops are allowed.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    if settled and e.count() <= settled:
+        out = stored(e.coalesce(1).mapInArrow(lean(settle), "id long, component long"), label)
+        discard(e)
+        return out
     ids = e
     n = -1
     for _ in range(max_rounds):

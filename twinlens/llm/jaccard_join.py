@@ -323,8 +323,8 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     return keyed(docs, shingle, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def keyed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``join`` with each row's ``key`` (see ``row_key``) and the ``component``, one of the component's keys."""
+def keyed(docs: DataFrame, shingle: int, percent: int, settled: int = 0) -> DataFrame:
+    """``join`` with each row's ``key`` (see ``row_key``) and the ``component``, one of the component's keys. ``settled``: see ``components``."""
     spark = docs.sparkSession
     buckets = max(2 * partitions(spark), -(-text_bytes(docs) // BUCKET))
     small_batches(spark)
@@ -335,12 +335,12 @@ def keyed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     # a class is in no more runs than its set has ranges
     runs = runs.join(known, "class").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
     met = runs.select("bucket", "run", "class", "n_shingles", "sketch").groupBy("bucket").applyInArrow(lean_group(_links_of_runs(percent)), "a long, b long").distinct()
-    cluster = components(met, "jaccard-clusters")
+    cluster = components(met, "jaccard-clusters", settled=settled)
     discard(packed)
     reps = every.where("class is not null").groupBy("class").agg(F.min(F.when(~F.col("blank"), F.col("key"))).alias("least"), F.min("key").alias("rep"))
     reps = reps.select("class", "least", F.coalesce("least", "rep").alias("rep"))
     member = stored(reps.join(cluster, reps["class"] == cluster["id"]).select("class", "rep", F.col("component").alias("cluster")), "jaccard-members")
-    found = components(clusters_to_links(docs, member.select("rep", "cluster"), shingle, percent), "jaccard-components")
+    found = components(clusters_to_links(docs, member.select("rep", "cluster"), shingle, percent), "jaccard-components", settled=settled)
     linked = reps.join(found, reps["rep"] == found["id"]).select("class", "rep", "least", "component")
     # a null id's key may be the smallest of its component, whose smallest id is another then
     lows = linked.groupBy("component").agg(F.min("least").alias("component_id"))
