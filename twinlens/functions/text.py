@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import string
 import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from ..errors import ConfigError
@@ -16,8 +20,13 @@ from ..errors import ConfigError
 
 #: White space as Python's ``str.split`` knows it, so that a text has the same tokens in the JVM and in Python.
 SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-#: Distinct tokens of a pair up to which the JVM compares it.
-FEW = 512
+#: Tokens of the longer of two texts whose columns of the distance are compared as the bits of one number.
+FEW = 2048
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has ``words``, without splitting it."""
+    return text.rlike("[^" + SPACES[1:-1])
 
 
 def words(text: Column) -> Column:
@@ -26,37 +35,61 @@ def words(text: Column) -> Column:
 
 
 def distance(a: list, b: list) -> int:
-    """Levenshtein distance of two token sequences, a row of the table at a time."""
-    names = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([names[t] for t in s], np.int64) for s in (a, b))
-    at = np.arange(len(y) + 1)
-    row = at.copy()
-    for i, t in enumerate(x.tolist(), 1):
-        # without insertions first; these then are a running least of what is left of a place
-        best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (y != t)))
-        row = np.minimum.accumulate(best - at) + at
-    return int(row[-1])
+    """Levenshtein distance of two token sequences, a column of the table at a time as the bits of a number (Myers, Hyyrö).
+
+    Of equally long ones whose differing places have no token in common it is the number of these places. Else equal
+    beginnings and ends are left out, and the longer sequence goes in blocks of ``FEW`` tokens, which hand on the steps
+    between the columns of their last rows, so that memory is linear in the lengths.
+    """
+    if len(a) == len(b):
+        other = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+        if {x for x, _ in other}.isdisjoint(y for _, y in other):
+            return len(other)  # not fewer either, as none of these tokens is left to be matched
+    start, m, n = 0, len(a), len(b)
+    while start < m and start < n and a[start] == b[start]:
+        start += 1
+    while m > start and n > start and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    long_, short = sorted((a[start:m], b[start:n]), key=len, reverse=True)
+    steps = [1] * len(short)
+    for at in range(0, len(long_) if short else 0, FEW):
+        block, places = long_[at : at + FEW], {}
+        for i, t in enumerate(block):
+            places[t] = places.get(t, 0) | 1 << i
+        last, ones = len(block) - 1, (1 << len(block)) - 1
+        more, less = ones, 0  # where the column grows or falls by one from a row to the next
+        for j, t in enumerate(short):
+            same, step = places.get(t, 0), steps[j]
+            level = same | less
+            if step < 0:
+                same |= 1
+            cross = (((same & more) + more) ^ more) | same
+            up, down = less | (~(cross | more) & ones), more & cross
+            steps[j] = (up >> last & 1) - (down >> last & 1)
+            up, down = up << 1 | (step > 0), down << 1 | (step < 0)
+            more, less = (down | ~(level | up)) & ones, up & level & ones
+    return len(long_) + sum(steps) if short else len(long_)
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays (unit costs).
+    """Levenshtein distance of two token arrays (unit costs). Null if either array is null.
 
-    Of a pair with up to ``FEW`` distinct tokens these become single characters, and the JVM's string distance does the
-    rest; a pair with more is compared in Arrow batches, in memory linear in its length. Null if either array is null.
+    In Arrow batches, as numbers of the batch's distinct tokens.
     """
-    both = F.array_distinct(F.concat(a, b))
-    few = F.size(both) <= FEW
-
-    def letters(x: Column) -> Column:
-        codes = F.transform(x, lambda t: F.lpad(F.hex(F.array_position(both, t) + 0x4DFF), 4, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    @F.pandas_udf("int")
-    def long_(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else distance(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="Int32")
+    @F.arrow_udf("int")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        tokens = [x.flatten(), y.flatten()]
+        codes = pa.chunked_array(tokens).dictionary_encode("encode").chunks  # none of an empty part
+        ids = np.concatenate([np.empty(0, np.int32), *(c.indices.to_numpy() for c in codes)])
+        sizes = (pc.fill_null(pc.list_value_length(c), 0).to_pylist() for c in (x, y))
+        out, i, j = [], 0, len(tokens[0])
+        for ok, m, n in zip(pc.and_(x.is_valid(), y.is_valid()).to_pylist(), *sizes, strict=True):
+            out.append(distance(ids[i : i + m].tolist(), ids[j : j + n].tolist()) if ok else None)
+            i, j = i + m, j + n
+        return pa.array(out, pa.int32())
 
-    rest = [F.when(~few, c).cast("array<string>") for c in (a, b)]
-    return F.when(few, F.levenshtein(letters(a), letters(b))).otherwise(long_(*rest))
+    return run(a.cast("array<string>"), b.cast("array<string>"))
 
 
 def token_edit_pct(original: Column, changed: Column) -> Column:
@@ -64,6 +97,21 @@ def token_edit_pct(original: Column, changed: Column) -> Column:
     return F.when(F.size(original) > 0, token_edit_distance(original, changed) / F.size(original) * 100.0)
 
 
+def word_edit_pct(original: Column, changed: Column) -> Column:
+    """``token_edit_pct`` of the ``words`` of two texts, split in Python: the JVM's split costs more than the comparison."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            # malformed bytes as in the JVM's strings
+            a, b = (None if v is None else v.decode("utf-8", "replace").split() for v in (p.as_py(), q.as_py()))
+            out.append(distance(a, b) / len(a) * 100.0 if a and b is not None else None)
+        return pa.array(out, pa.float64())
+
+    return run(original.cast("binary"), changed.cast("binary"))
+
+
 # The phrases at a text's beginning, and the patterns, by which it counts as a refusal.
 REFUSAL_PHRASES = [
     "i can't help with",
@@ -112,10 +160,20 @@ def _refusals() -> list[str]:
     return ["^(?:" + "|".join(REFUSAL_PHRASES) + ")", *REFUSAL_PATTERNS]
 
 
+#: What a text with one of the unanchored patterns has in it: a plain search for it spares most texts the pattern.
+REFUSAL_PARTS = {
+    REFUSAL_PATTERNS[2]: ["m sorry"],
+    REFUSAL_PATTERNS[3]: ["unfortunately"],
+    REFUSAL_PATTERNS[4]: ["my apologies"],
+    REFUSAL_PATTERNS[5]: ["to help", "to assist", "to do"],
+}
+
+
 def normalize_refusal(text: Column, ascii_only: bool = False) -> Column:
     """NFKC, typographic apostrophes as ', trimmed, lower case. ``ascii_only`` stays in the JVM and leaves NFKC out."""
     if ascii_only:
-        return F.lower(F.trim(F.translate(text, "’‘ʼ", "'''")))
+        curly = text.contains("’") | text.contains("‘") | text.contains("ʼ")
+        return F.lower(F.trim(F.when(curly, F.translate(text, "’‘ʼ", "'''")).otherwise(text)))
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -130,7 +188,10 @@ def is_refusal(text: Column, ascii_only: bool = False) -> Column:
     t = normalize_refusal(text, ascii_only)
     hit = F.lit(False)
     for p in _refusals():
-        hit = hit | t.rlike("(?U)" + p)
+        found = t.rlike("(?U)" + p)
+        if p in REFUSAL_PARTS:
+            found = functools.reduce(operator.or_, map(t.contains, REFUSAL_PARTS[p])) & found
+        hit = hit | found
     return F.coalesce(hit, F.lit(False))
 
 

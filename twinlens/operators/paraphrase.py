@@ -39,16 +39,17 @@ def select_paraphrase(samples: DataFrame, candidates: DataFrame, tolerance: floa
     """
     tried = candidates.where(F.col("attempt") <= max_retries + 1).join(samples.select("sample_id", "original", "target_edit_pct"), "sample_id")
     text = F.trim("text")
-    tried = tried.select("sample_id", "attempt", text.alias("text"), F.col("target_edit_pct").alias("target_pct"), T.is_refusal(text, ascii_only).alias("refused"), T.token_edit_pct(tokens(F.col("original")), tokens(text)).alias("actual_pct"))
+    actual = T.word_edit_pct(F.col("original"), text) if tokens is T.words else T.token_edit_pct(tokens(F.col("original")), tokens(text))
+    tried = tried.select("sample_id", "attempt", text.alias("text"), F.col("target_edit_pct").alias("target_pct"), T.is_refusal(text, ascii_only).alias("refused"), actual.alias("actual_pct"))
     fit = ~F.col("refused") & (F.abs(F.col("actual_pct") - F.col("target_pct")) <= tolerance)
     order = F.struct((~fit).alias("a"), F.when(fit, F.lit(False)).otherwise(F.col("actual_pct") > F.col("target_pct")).alias("b"), F.when(fit, F.lit(0.0)).otherwise(F.abs(F.col("actual_pct") - F.col("target_pct"))).alias("c"), F.col("attempt").alias("k"))
-    usable = ~F.col("refused")
-    picked = F.min_by(F.struct("attempt", "text", "actual_pct", fit.alias("fit")), F.when(usable, order))
-    best = tried.groupBy("sample_id").agg(picked.alias("p"))
+    order = F.when(~F.col("refused"), order)
+    # texts apart, so that a caller without need of them has none in the aggregate
+    best = tried.groupBy("sample_id").agg(F.min_by(F.struct("attempt", "actual_pct", fit.alias("fit")), order).alias("p"), F.min_by("text", order).alias("best_text"))
     out = samples.join(best, "sample_id", "left")
     refused = F.col("p").isNull()
     return out.select(
-        *samples.columns, F.coalesce("p.text", "original").alias("baseline_perturbed"), F.when(refused, F.lit(0.0)).otherwise(F.col("p.actual_pct")).alias("baseline_edit_pct"),
+        *samples.columns, F.coalesce("best_text", "original").alias("baseline_perturbed"), F.when(refused, F.lit(0.0)).otherwise(F.col("p.actual_pct")).alias("baseline_edit_pct"),
         refused.alias("baseline_refused"), F.when(F.coalesce("p.fit", F.lit(False)), F.col("p.attempt")).otherwise(F.lit(max_retries + 1)).cast("int").alias("retries_used"),
     )
 

@@ -272,11 +272,11 @@ def best_undershoot(spark, d):
 @query()
 def paraphrase_select(spark, d):
     """Candidates of each message change every j-th token; tests hold the choice against the online loop."""
-    c = table(spark, d, "conversations").repartition(spark.sparkContext.defaultParallelism)
-    t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("text").alias("original")).where(F.size(T.words(F.col("original"))) > 0)
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("text").alias("original"))
+    t = t.where(T.has_words(F.col("original"))).repartition("sample_id")  # before candidates are made, so that these stay where their samples are
     samples = t.withColumn("target_edit_pct", (F.col("sample_id") % 4 * 10 + 5).cast("double"))
     every = F.explode(F.array(*(F.struct(F.lit(k).alias("attempt"), F.lit(j).alias("j")) for k, j in enumerate((20, 10, 7, 4, 3), 1)))).alias("c")
-    cand = t.select("sample_id", every, "original").select("sample_id", "c.attempt", F.array_join(F.transform(T.words(F.col("original")), lambda w, i: F.when(i % F.col("c.j") == 0, F.concat(w, F.lit("x"))).otherwise(w)), " ").alias("text"))
+    cand = t.select("sample_id", T.words(F.col("original")).alias("words")).select("sample_id", every, "words").select("sample_id", "c.attempt", F.array_join(F.transform("words", lambda w, i: F.when(i % F.col("c.j") == 0, F.concat(w, F.lit("x"))).otherwise(w)), " ").alias("text"))
     out = paraphrase.select_paraphrase(samples, cand, tolerance=1.0, max_retries=4)
     return out.select("sample_id", F.round("baseline_edit_pct", 9).alias("baseline_edit_pct"), "baseline_refused", "retries_used")
 
